@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import simhash, winnow
+from stratum.llm import idstore, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_token_id_store": idstore.op9_token_id_store,
     "op6_benchmark_decontamination": winnow.op6_benchmark_decontamination,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
