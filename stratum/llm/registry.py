@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import idstore, ring, simhash, winnow
+from stratum.llm import idstore, quality, ring, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op3_hash_ring_shards": ring.op3_hash_ring_shards,
     "op9_token_id_store": idstore.op9_token_id_store,
     "op6_benchmark_decontamination": winnow.op6_benchmark_decontamination,
