@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import idstore, quality, ring, simhash, winnow
+from stratum.llm import idstore, media, quality, ring, sentencepiece_viterbi, simhash, token_counts, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_avi_motion_jpeg": media.op1_avi_motion_jpeg,
+    "op2_sentencepiece_codec": sentencepiece_viterbi.op2_sentencepiece_codec,
+    "op10_token_counts": token_counts.op10_token_counts,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op3_hash_ring_shards": ring.op3_hash_ring_shards,
     "op9_token_id_store": idstore.op9_token_id_store,
