@@ -48,4 +48,4 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
 def join_to_one(facts: DataFrame, dims: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     """Left join to one row a key. The few hot keys, whose number is bounded, are joined by broadcast, so no task gets a hot key's rows."""
     hot_dims = F.broadcast(dims.join(F.broadcast(hot), key, "left_semi"))
-    return facts.join(hot_dims, key).unionByName(facts.join(F.broadcast(hot), key, "left_anti").join(dims, key, "left"))
+    return facts.join(F.broadcast(hot), key, "left_semi").join(hot_dims, key, "left").unionByName(facts.join(F.broadcast(hot), key, "left_anti").join(dims, key, "left"))

@@ -191,5 +191,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
+    return score(docs, labels, id_col, text_col, keep=True).where("__predicted = 1").drop("__predicted")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import idstore, media, quality, ring, sentencepiece_viterbi, simhash, token_counts, winnow
+from stratum.llm import chat, idstore, licenses, media, quality, ring, sentencepiece_viterbi, simhash, token_counts, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_preference_formatting": chat.op4_preference_formatting,
+    "op5_license_scan": licenses.op5_license_scan,
     "op1_avi_motion_jpeg": media.op1_avi_motion_jpeg,
     "op2_sentencepiece_codec": sentencepiece_viterbi.op2_sentencepiece_codec,
     "op10_token_counts": token_counts.op10_token_counts,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_preference_formatting": chat.ORACLE_SQL,
     "op6_benchmark_decontamination": winnow.ORACLE_SQL,
 }

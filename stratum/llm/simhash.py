@@ -131,5 +131,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with all their columns: one of each group.
+
+    Rows without an id are kept, as no smaller id can be told. Of rows that share an id, and so would all stay, one stays.
+    """
+    found = settle(near_duplicates(docs, id_col, text_col))
+    heads = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = docs.join(heads.select(F.col("doc_id").alias("__head")), F.col(id_col) == F.col("__head"), "left_semi")
+    if not heads.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    if docs.schema[id_col].nullable:
+        kept = kept.unionByName(docs.where(F.col(id_col).isNull()))
+    return kept
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

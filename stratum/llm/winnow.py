@@ -268,6 +268,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def clean_only(docs: DataFrame, items: DataFrame, text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which no word is hit: each block of items filters what the one before left."""
+    _, parts = _item_blocks(items, index_bytes)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for part in parts:
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value)
+            for rows, texts in blocks(batches, text_col):
+                words = Words(texts)
+                hit, _ = index.search(words)
+                yield rows.filter(pa.array(np.bincount(words.text_of[hit], minlength=len(texts)) == 0))
+
+        docs = map_arrow(docs, run, schema)
+    return docs
+
+
 _WORDS_SQL = """list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: length(w) > 0)"""
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS_SQL} AS w FROM documents),
