@@ -3,7 +3,8 @@
 The pre-tokenizer's expression never looks back and lets a word take the one space before it, so
 where every run of white space is a single space or line break, a text's ids are those of its words,
 each with its space, and of the breaks. Words are encoded by the library's BPE model and looked up
-from then on in a table kept by the worker, of up to ``MOST_KEPT`` words. Words that are not letters
+from then on in a table kept by the worker: the first ``MOST_KEPT`` words stay, as frequent words
+come early; later ones are kept in a second table that starts anew at ``MOST_RECENT``. Words that are not letters
 followed by punctuation, and texts with other white space, go through the library's whole pipeline.
 """
 
@@ -16,7 +17,8 @@ from array import array
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-MOST_KEPT = 500_000
+MOST_KEPT = 350_000
+MOST_RECENT = 150_000
 _OTHER_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|[\x01\x1c-\x1f\x85]|<\|")
 #: Runs of these are one piece for the pre-tokenizer; the apostrophe may start a contraction.
 _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -47,6 +49,7 @@ class WordEncoder(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.recent: dict[str, bytes] = {}
         self._sizes: np.ndarray | None = None
 
     @classmethod
@@ -61,6 +64,18 @@ class WordEncoder(dict):
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def __missing__(self, key: str) -> bytes:
+        ids = self.recent.get(key)
+        if ids is None:
+            ids = self._encoded(key)
+            if len(self) < MOST_KEPT:
+                self[key] = ids
+            else:
+                if len(self.recent) >= MOST_RECENT:
+                    self.recent.clear()
+                self.recent[key] = ids
+        return ids
+
+    def _encoded(self, key: str) -> bytes:
         lead, word = (key[0], key[1:]) if key[:1] in ("\n", "\x01") else (" ", key)
         core = word.rstrip(_MARKS)
         before = "" if lead != " " else " "
@@ -72,7 +87,6 @@ class WordEncoder(dict):
             ids = self._piece(before + word) if before + word else b""
         if lead == "\n":
             ids = self._piece("\n") + ids
-        self[key] = ids
         return ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -80,8 +94,6 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self) > MOST_KEPT:
-            self.clear()
         of = self.__getitem__
         out = []
         for text in texts:

@@ -38,24 +38,25 @@ def name_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=NAME_BYTES).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream: where the rolling hash has ``MEAN_BITS`` zero bits, with ``LEAST`` to ``MOST`` ids a chunk."""
-    if len(ids) <= LEAST:
-        return [len(ids)]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the content says to cut. No chunk ends within ``LEAST`` ids of a document's start, so a window never counts that reaches into the document before: many documents' ids may follow each other."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     rolled = np.zeros(len(ids), np.uint64)
     for j in range(WINDOW):
         rolled[j:] += mixed[: len(ids) - j] * np.uint64(0xD1342543DE82EF95 * (2 * j + 1) % (1 << 64))
-    marks = np.flatnonzero((rolled >> np.uint64(64 - MEAN_BITS)) == 0) + 1
+    return np.flatnonzero((rolled >> np.uint64(64 - MEAN_BITS)) == 0) + 1
+
+
+def cuts(size: int, marked: list[int]) -> list[int]:
+    """Ends of the chunks of ``size`` ids: at marks, with ``LEAST`` to ``MOST`` ids a chunk but for the last."""
     out, last = [], 0
-    for mark in [*marks.tolist(), len(ids)]:
+    for mark in [*marked, size]:
         while mark - last > MOST:
             last += MOST
             out.append(last)
-        if mark - last >= LEAST or mark == len(ids):
-            if mark > last:
-                out.append(mark)
+        if mark > last and (mark - last >= LEAST or mark == size):
+            out.append(mark)
             last = mark
     return out
 
@@ -72,12 +73,16 @@ def _objects(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id
             rows: list[tuple] = []
             if len(seen) > 200_000:
                 seen.clear()
-            for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode([t.decode() for t in texts]), strict=True):
-                ids = np.frombuffer(raw + end, "<u4")
+            encoded = [raw + end for raw in encoder.encode([t.decode() for t in texts])]
+            stream = np.frombuffer(b"".join(encoded), "<u4")
+            marked, narrow = marks(stream), stream.astype(width).tobytes()
+            item, ends = int(width[-1]), np.cumsum([len(x) // 4 for x in encoded])
+            among = np.searchsorted(marked, [0, *ends], "right").tolist()
+            for k, (doc_id, stop) in enumerate(zip(part.column(0).to_pylist(), ends.tolist(), strict=True)):
+                start = stop - len(encoded[k]) // 4
                 names, last = [], 0
-                narrow = ids.astype(width)
-                for cut in cuts(ids):
-                    payload = narrow[last:cut].tobytes()
+                for cut in cuts(stop - start, (marked[among[k] : among[k + 1]] - start).tolist()):
+                    payload = narrow[item * (start + last) : item * (start + cut)]
                     name = name_of(payload)
                     names.append(name)
                     if name not in seen:
@@ -85,7 +90,7 @@ def _objects(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id
                         rows.append(("chunk", name, None, cut - last, payload))
                     last = cut
                 recipe = b"".join(names)
-                rows.append(("recipe", name_of(recipe), doc_id, len(ids), recipe))
+                rows.append(("recipe", name_of(recipe), doc_id, stop - start, recipe))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "name", "doc_id", "n", "payload"])
 
