@@ -93,16 +93,29 @@ def fold(x: str, d: Dialect = SPARK) -> str:
     return d.replace(out, r"[\x{300}-\x{36F}]", "")
 
 
-def tokens(x: str, d: Dialect = SPARK) -> str:
-    """Words and identifiers of folded text in order; an identifier comes whole, marked with ``=``, before its parts, a camel-case word before its."""
+_CHUNK = r"[\p{L}\p{N}](?:[\p{L}\p{N}_./\\:-]*[\p{L}\p{N}])?"
+_JOINERS = r"[-_./\\:]"
+
+
+def chunks(x: str, d: Dialect = SPARK) -> str:
+    """Runs of letters, digits and joiners, without joiners at the ends."""
+    return d.found(x, _CHUNK)
+
+
+def chunk_tokens(c: str, d: Dialect = SPARK) -> str:
+    """Tokens of a chunk: an identifier comes whole, marked with ``=``, before its parts, a camel-case word before its."""
     camel = d.replace(d.replace("w", r"([\p{Ll}\p{N}])(\p{Lu})", r"\1 \2"), r"(\p{Lu}{2,})(\p{Lu}\p{Ll}{2})", r"\1 \2")
     split_word = f"CASE WHEN length(w) > 64 OR {camel} = w THEN {d.many('w')} ELSE {d.joined(d.many('w'), d.split(camel, ' '))} END"
     words = lambda xs: f"flatten({d.each(xs, 'w', split_word)})"
-    joiners = r"[-_./\\:]"
-    parts = d.only(d.split("c", joiners + "+"), "p", "p <> ''")
-    one = f"CASE WHEN {d.matches('c', joiners)} THEN {d.joined(d.many("concat('=', c)"), words(parts))} ELSE {words(d.many('c'))} END"
-    chunks = d.each(d.found(x, r"[\p{L}\p{N}_./\\:-]+"), "k", d.replace("k", r"^[-_./\\:]+|[-_./\\:]+$", ""))
-    return f"flatten({d.each(d.only(chunks, 'c', "c <> ''"), 'c', one)})"
+    parts = d.only(d.split(c, _JOINERS + "+"), "p", "p <> ''")
+    # Most chunks are one word without a border inside: no lambda runs for them.
+    plain = f"NOT {d.matches(c, _JOINERS + r'|[\p{Ll}\p{N}]\p{Lu}|\p{Lu}{3}')}"
+    return f"CASE WHEN {plain} THEN {d.many(c)} WHEN {d.matches(c, _JOINERS)} THEN {d.joined(d.many(f"concat('=', {c})"), words(parts))} ELSE {words(d.many(c))} END"
+
+
+def tokens(x: str, d: Dialect = SPARK) -> str:
+    """Tokens of folded text in order."""
+    return f"flatten({d.each(chunks(x, d), 'c', chunk_tokens('c', d))})"
 
 
 def stem(x: str, d: Dialect = SPARK) -> str:
@@ -124,7 +137,7 @@ def stem(x: str, d: Dialect = SPARK) -> str:
     y = d.replace(cut(cut(y, "ee"), "e"), "#$", "")
     y = d.replace(cut(y, "er"), "#$", "")
     y = d.replace(y, "([^aeiouy])y$", r"\1i")
-    return f"CASE WHEN {d.matches(x, r'\p{N}')} THEN {x} ELSE {y} END"
+    return f"CASE WHEN {d.matches(x, r'\p{N}')} OR NOT {d.matches(x, '(?:[sxey]|ed|ing|er)$')} THEN {x} ELSE {y} END"
 
 
 def term(t: str, d: Dialect = SPARK) -> str:

@@ -10,8 +10,8 @@ from stratum.functions import text as T
 
 def term_frequencies(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, length): length counts all terms of the passage, repeats included. Passages without terms give no rows."""
-    exploded = passages.select(F.col(id_col).alias("id"), F.explode(F.expr(T.tokens(T.fold(text_col)))).alias("t"))
-    terms = exploded.select("id", F.expr(T.term("t")).alias("term")).where("term IS NOT NULL")
+    cut = passages.select(F.col(id_col).alias("id"), F.explode(F.expr(T.chunks(T.fold(text_col)))).alias("c"))
+    terms = cut.select("id", F.explode(F.expr(T.chunk_tokens("c"))).alias("t")).select("id", F.expr(T.term("t")).alias("term")).where("term IS NOT NULL")
     counts = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
 
