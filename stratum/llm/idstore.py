@@ -43,7 +43,7 @@ def marks(ids: np.ndarray) -> np.ndarray:
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     rolled = np.zeros(len(ids), np.uint64)
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(ids))):
         rolled[j:] += mixed[: len(ids) - j] * np.uint64(0xD1342543DE82EF95 * (2 * j + 1) % (1 << 64))
     return np.flatnonzero((rolled >> np.uint64(64 - MEAN_BITS)) == 0) + 1
 
