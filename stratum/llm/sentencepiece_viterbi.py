@@ -65,7 +65,7 @@ class Model:
         self.prefix = norm.add_dummy_prefix
         kinds = [p.type for p in spec.pieces]
         self.pieces = [p.piece for p in spec.pieces]
-        self.scores = np.array([p.score for p in spec.pieces], np.float64)
+        self.scores = np.array([p.score for p in spec.pieces], np.float32)
         self.unknown = kinds.index(_UNKNOWN)
         self.bytes_of = [b"" if k in (_CONTROL, _UNKNOWN) else bytes([int(p[3:-1], 16)]) if k == _BYTE else p.replace(_SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         self.byte_ids = {self.bytes_of[i][0]: i for i, k in enumerate(kinds) if k == _BYTE}
@@ -77,7 +77,6 @@ class Model:
         self.keys, self.key_ids = hashes[order], np.array(normal, np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
-        self.least_score = self.scores[normal].min() - 10.0
         pairs = {(a, b) for p in self.id_of for a, b in zip(p, p[1:], strict=False)}
         self.pairs = np.sort(np.array([(ord(a) << 32) | ord(b) for a, b in pairs], np.uint64))
         self.kept: dict[str, bytes] = {}
@@ -181,7 +180,7 @@ class Model:
         powers = [np.uint64(1)]
         for _ in range(self.longest):
             powers.append(np.uint64(int(powers[-1]) * int(_ROLL) % (1 << 64)))
-        best = np.full((words, length + 1), -np.inf)
+        best = np.full((words, length + 1), -np.inf, np.float32)
         best[:, 0] = 0.0
         back = np.zeros((words, length + 1), np.int32)
         piece = np.full((words, length + 1), -1, np.int64)
@@ -196,7 +195,7 @@ class Model:
                 good = self.own[ids]
                 good[inner] &= self._borders_hold(piece[row[inner], start[inner]], ids[inner])
                 row, ids, start = row[good], ids[good], start[good]
-                value = best[row, start] + 1.0
+                value = best[row, start] + np.float32(1)
             else:
                 value = best[row, start] + self.scores[ids]
             order = np.lexsort((-start, value, row))
