@@ -58,14 +58,19 @@ def envelopes(journal: DataFrame, stream: str, kind: str, data: str) -> DataFram
     return journal.select(F.concat(F.col(stream).cast("string"), F.lit("/"), F.col("sequence").cast("string")).alias("id"), body.alias("envelope"))
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, which asks for an instant; a batch as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, time: str, kind: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by event-time window and type, for batch or stream; with a watermark on a stream."""
-    held = events.withWatermark(time, late) if events.isStreaming else events
+    held = _timed(events, time, late)
     return held.groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("events"), F.round(F.sum(value), 4).alias("total")).select(F.col("window.start").alias("window_start"), kind, "events", "total")
 
 
 def sessions(events: DataFrame, time: str, user: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    held = events.withWatermark(time, late) if events.isStreaming else events
+    held = _timed(events, time, late)
     return held.groupBy(F.session_window(time, gap).alias("s"), user).agg(F.count(F.lit(1)).alias("events")).select(user, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events")
 
 
