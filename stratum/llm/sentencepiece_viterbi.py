@@ -6,7 +6,8 @@ end there probe the sorted hashes of the pieces, and a vectorised maximum over t
 a back pointer. For unigram models the maximum is that of the summed scores. For BPE models the
 merges' result is found by the same recursion with one more condition: a candidate counts only if
 the merges of the piece before it and of itself leave the border between them, which is so for
-exactly one candidate at each position. Characters without a piece become their bytes' pieces.
+exactly one candidate at each position. Where two ways of a unigram model have equal scores, the
+rounding of sums over a whole text may prefer the other one than the sums over a word do here. Characters without a piece become their bytes' pieces.
 
 Distinct words are encoded once and looked up from then on, in a table kept by the worker.
 """
