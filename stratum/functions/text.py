@@ -118,8 +118,8 @@ def tokens(x: str, d: Dialect = SPARK) -> str:
     return f"flatten({d.each(chunks(x, d), 'c', chunk_tokens('c', d))})"
 
 
-def stem(x: str, d: Dialect = SPARK) -> str:
-    """Light stem of a lower-case folded word: plural, -ied/-ed/-ing, -ee/-e, -er, final y. A cut leaves three letters or more with a vowel; a word with a digit stays."""
+def stem_steps(d: Dialect = SPARK) -> list[tuple[tuple[str, ...], str]]:
+    """The stem's steps in order: the endings without which a step changes nothing, and its expression of ``{w}``."""
     whole = r"([^#]*[aeiouy][^#]{2,}|[^#]+[aeiouy][^#]+|[^#]{2,}[aeiouy][^#]*)"
     rest = r"([^#]*[aeiouy][^#]+|[^#]+[aeiouy][^#]*)"
     pair = "(?:" + "|".join(f"({c}){c}" for c in _DOUBLES) + ")"
@@ -129,14 +129,21 @@ def stem(x: str, d: Dialect = SPARK) -> str:
         """The ending goes, with one of two equal consonants before it; ``#`` marks that it did."""
         return d.replace(d.replace(y, f"^{rest}{pair}(?:{endings})$", f"\\1{groups}#"), f"^{whole}(?:{endings})$", r"\1#")
 
-    y = d.replace(x, "(ea?u)x$", r"\1")
+    y = d.replace("{w}", "(ea?u)x$", r"\1")
     y = d.replace(y, "(^|[^e])aux$", r"\1al")
-    y = d.replace(y, "^(.*[aeiouy].*[^su])s$", r"\1")
-    y = cut(d.replace(y, "ied$", "ie"), "ed|ing")
-    y = d.replace(d.replace(y, "^(.{2,}e)ed#$", r"\1"), "#$", "")
-    y = d.replace(cut(cut(y, "ee"), "e"), "#$", "")
-    y = d.replace(cut(y, "er"), "#$", "")
-    y = d.replace(y, "([^aeiouy])y$", r"\1i")
+    plural = d.replace(y, "^(.*[aeiouy].*[^su])s$", r"\1")
+    y = cut(d.replace("{w}", "ied$", "ie"), "ed|ing")
+    english = d.replace(d.replace(y, "^(.{2,}e)ed#$", r"\1"), "#$", "")
+    french = d.replace(cut(cut("{w}", "ee"), "e"), "#$", "")
+    infinitive = d.replace(cut("{w}", "er"), "#$", "")
+    return [(("s", "x"), plural), (("ed", "ing"), english), (("e",), french), (("er",), infinitive), (("y",), d.replace("{w}", "([^aeiouy])y$", r"\1i"))]
+
+
+def stem(x: str, d: Dialect = SPARK) -> str:
+    """Light stem of a lower-case folded word: plural, -ied/-ed/-ing, -ee/-e, -er, final y. A cut leaves three letters or more with a vowel; a word with a digit stays."""
+    y = x
+    for _, body in stem_steps(d):
+        y = body.replace("{w}", y)
     return f"CASE WHEN {d.matches(x, r'\p{N}')} OR NOT {d.matches(x, '(?:[sxey]|ed|ing|er)$')} THEN {x} ELSE {y} END"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.runtime import map_arrow, settle
+from stratum.runtime import map_arrow, settle, spread
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 85
 
@@ -26,7 +26,7 @@ def shingles(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE) -> D
     """(id, shingle) distinct: n words in a row, case kept; all words if there are fewer; none of an empty text."""
     words = F.expr(f"filter(split({text_col}, r'\\s+'), w -> w <> '')")
     listed = F.expr(f"if(size(w) = 0, array(), if(size(w) < {n}, array(array_join(w, ' ')), transform(sequence(0, size(w) - {n}), i -> array_join(slice(w, i + 1, {n}), ' '))))")
-    return docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.explode(F.array_distinct(listed)).alias("shingle"))
+    return spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.explode(F.array_distinct(listed)).alias("shingle"))
 
 
 def minhash_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,7 +72,7 @@ def minhash_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
                 out.append(best.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "signature"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, signature array<long>")
+    return map_arrow(spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), run, "id long, signature array<long>")
 
 
 def candidate_pairs(signatures: DataFrame) -> DataFrame:

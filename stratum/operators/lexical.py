@@ -6,12 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import text as T
+from stratum.runtime import spread
+
+
+def as_terms(tokens: DataFrame, token: str) -> DataFrame:
+    """Adds ``term`` and leaves out stopwords. The same as ``text.term``, but each step's patterns run only on words with its ending."""
+    t = F.col(token)
+    whole = t.startswith("=")
+    word = F.when(whole, F.lower(F.substring(t, 2, 1 << 20))).when(t.endswith("s"), F.lower(F.regexp_replace(t, r"^(\p{Lu}{2,})s$", "$1"))).otherwise(F.lower(t))
+    out = tokens.withColumns({"__whole": whole, "term": word}).where(F.col("__whole") | ~F.col("term").isin(*sorted({*T.ENGLISH, *T.FRENCH})))
+    # Steps are mapped over an array of the one word, which binds it: a chain of columns would be one method too deep to compile.
+    stemmed = "array(term)"
+    for endings, body in T.stem_steps():
+        ends = " OR ".join(f"endswith(w, '{e}')" for e in endings)
+        stemmed = f"transform({stemmed}, w -> CASE WHEN ({ends}) AND NOT w rlike r'\\p{{N}}' THEN {body.replace('{w}', 'w')} ELSE w END)"
+    return out.withColumn("term", F.expr(f"CASE WHEN __whole OR NOT term rlike r'(?:[sxey]|ed|ing|er)$' THEN term ELSE {stemmed}[0] END")).drop("__whole")
 
 
 def term_frequencies(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, length): length counts all terms of the passage, repeats included. Passages without terms give no rows."""
-    cut = passages.select(F.col(id_col).alias("id"), F.explode(F.expr(T.chunks(T.fold(text_col)))).alias("c"))
-    terms = cut.select("id", F.explode(F.expr(T.chunk_tokens("c"))).alias("t")).select("id", F.expr(T.term("t")).alias("term")).where("term IS NOT NULL")
+    cut = spread(passages.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(F.expr(T.chunks(T.fold(text_col)))).alias("c"))
+    terms = as_terms(cut.select("id", F.explode(F.expr(T.chunk_tokens("c"))).alias("t")), "t").select("id", "term")
     counts = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
 
