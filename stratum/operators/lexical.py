@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import text as T
-from stratum.runtime import spread
+from stratum.runtime import settle, spread
 
 
 def as_terms(tokens: DataFrame, token: str) -> DataFrame:
@@ -56,7 +56,8 @@ def bm25_topk(passages: DataFrame, queries: DataFrame, id_col: str, text_col: st
     Terms that no query has are dropped right after analysis, but for their share in lengths.
     """
     wanted = term_frequencies(queries, query_id, query_text).select(F.col("id").alias("query_id"), "term")
-    frequencies = term_frequencies(passages, id_col, text_col)
+    # Lengths and weights both need the frequencies: they are analysed once and written.
+    frequencies = settle(term_frequencies(passages, id_col, text_col), "frequencies")
     average = average_length(frequencies, passages)
     relevant = frequencies.join(wanted.select("term").distinct(), "term", "left_semi")
     stats = term_statistics(relevant, average)
