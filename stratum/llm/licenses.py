@@ -45,30 +45,38 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-_SPLIT = r"(?:[^a-z0-9.]|\.(?![0-9]))+"
+#: All but letters, digits and dots of ASCII ends a term; a dot does unless a digit follows.
+_MARKS = "\t\n\r!\"#$%&()*+,-/:;<=>?@[]^_`{|}~'\\"
 _OTHER = "<other>"
+#: Template terms so common in any text that units with no other template term are left out at the first pass. That this
+#: loses none is verified once document frequencies are known; if it weren't so, all texts would be kept.
+_COMMON = ("all", "and", "any", "are", "by", "for", "in", "into", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without")
 
 
 def terms_of(text: str) -> list[str]:
     """What the SQL expression of ``_terms`` gives."""
-    return [w for w in re.split(_SPLIT, text.lower()) if w]
+    bare = re.sub(r"\.(?![0-9])", " ", text.lower()).translate(str.maketrans(_MARKS, " " * len(_MARKS)))
+    return [w for w in bare.split(" ") if w]
+
+
+def _words(column: str) -> str:
+    """Terms and empty strings of lower-case text: a pattern that starts with a literal, then splitting at a plain character."""
+    marks = "".join({"\t": "\\t", "\n": "\\n", "\r": "\\r", "'": "\\'", "\\": "\\\\"}.get(c, c) for c in _MARKS)
+    return f"split(translate(regexp_replace({column}, '\\\\.(?![0-9])', ' '), '{marks}', '{' ' * len(_MARKS)}'), ' ')"
 
 
 def _terms(column: str) -> str:
-    pattern = _SPLIT.replace("\\", "\\\\")
-    return f"filter(split({column}, '{pattern}'), w -> w <> '')"
+    return f"filter({_words(column)}, w -> w <> '')"
 
 
 def _array(words: list[str]) -> str:
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def _idf(files: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """Smoothed inverse document frequency of each template term and of the rest; one number a term comes to the driver."""
-    held = files.select(F.expr(_terms("lower(text)")).alias("words")).select(
-        F.concat(F.expr(f"array_intersect(words, {_array(vocabulary)})"), F.when(F.expr(f"size(array_except(words, {_array(vocabulary)})) > 0"), F.array(F.lit(_OTHER))).otherwise(F.expr("cast(array() as array<string>)")), F.array(F.lit(""))).alias("words")
-    )
-    df = {r.word: r.n for r in held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+def _idf(held: DataFrame, vocabulary: list[str]) -> dict[str, float]:
+    """Smoothed inverse document frequency of each template term and of the rest, over all files; one number a term comes to the driver."""
+    marked = held.select(F.concat("terms", F.when(F.col("other"), F.array(F.lit(_OTHER))).otherwise(F.expr("cast(array() as array<string>)")), F.array(F.lit(""))).alias("words"))
+    df = {r.word: r.n for r in marked.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = df.get("", 0)
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in [*vocabulary, _OTHER]}
 
@@ -110,11 +118,18 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     vocabulary = sorted({t for _, terms in counted for t in terms})
     if len(vocabulary) > 20_000:
         raise ValueError("templates are meant to be few: their terms are broadcast")
-    idf = _idf(chosen, vocabulary)
-    cues = _array(_cues(idf, counted, LINE_COSINE))
+    # One pass over all texts: each file's template terms, and the text only where it can matter.
+    uncommon = _array([w for w in vocabulary if w not in _COMMON])
+    worded = chosen.select("doc_id", "path", F.lower("text").alias("text")).withColumn("words", F.expr(f"array_distinct({_words('text')})"))
+    listed = worded.withColumn("terms", F.expr(f"array_intersect(words, {_array(vocabulary)})")).withColumn("other", F.expr("size(words) > size(terms) + int(array_contains(words, ''))"))
+    pruned = settle(listed.select("doc_id", "path", "terms", "other", F.when(F.expr(f"arrays_overlap(terms, {uncommon})"), F.col("text")).alias("text")), "pruned")
+    idf = _idf(pruned, vocabulary)
+    cue_terms = _cues(idf, counted, LINE_COSINE)
+    cues = _array(cue_terms)
     # Units with a cue: lines, and whole texts of files with such a line.
-    cued = chosen.select("doc_id", "path", F.lower("text").alias("text")).where(F.expr(f"arrays_overlap({_terms('text')}, {cues})"))
-    lines = F.expr(f"filter(split(text, '\\\\n'), l -> arrays_overlap({_terms('l')}, {cues}))")
+    cued = pruned.where("text IS NOT NULL") if not set(cue_terms) & set(_COMMON) else worded
+    cued = cued.select("doc_id", "path", "text").where(F.expr(f"arrays_overlap({_words('text')}, {cues})"))
+    lines = F.expr(f"filter(split(text, '\\\\n'), l -> arrays_overlap({_words('l')}, {cues}))")
     units = settle(cued.select("doc_id", "path", F.explode(F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))).alias("u")).select("doc_id", "path", "u.whole", "u.unit"), "units")
     seen = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     known = _array(vocabulary)
