@@ -130,23 +130,25 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     cued = pruned.where("text IS NOT NULL") if not set(cue_terms) & set(_COMMON) else worded
     cued = cued.select("doc_id", "path", "text").where(F.expr(f"arrays_overlap({_words('text')}, {cues})"))
     lines = F.expr(f"filter(split(text, '\\\\n'), l -> arrays_overlap({_words('l')}, {cues}))")
-    units = settle(cued.select("doc_id", "path", F.explode(F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))).alias("u")).select("doc_id", "path", "u.whole", "u.unit"), "units")
-    seen = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    units = settle(cued.select("doc_id", "path", F.explode(F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))).alias("u")).select("doc_id", "path", "u.whole", "u.unit", F.md5("u.unit").alias("uid")), "units")
+    # A unit goes by its hash from here on: whole texts are carried through one aggregation only.
+    seen = units.groupBy("uid").agg(F.first("unit").alias("unit"))
     known = _array(vocabulary)
-    tf = seen.select("unit", F.explode(F.expr(f"transform({_terms('unit')}, w -> if(array_contains({known}, w), w, '{_OTHER}'))")).alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = seen.select("uid", F.explode(F.expr(f"transform({_terms('unit')}, w -> if(array_contains({known}, w), w, '{_OTHER}'))")).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
     rows = ", ".join(f"('{w}', {v!r}D)" for w, v in sorted(idf.items()))
     weights = F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} AS t(term, idf)"))
-    vectors = tf.join(weights, "term").select("unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vectors = tf.join(weights, "term").select("uid", "term", (F.col("tf") * F.col("idf")).alias("w"))
     parts = []
     for k, (name, terms) in enumerate(counted):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in terms.items()))
         parts += [f"('{t}', {k}, '{name}', {n * idf[t] / norm!r}D)" for t, n in sorted(terms.items())]
     sides = F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join(parts)} AS t(term, template, license, part)"))
-    norms = vectors.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vectors.join(sides, "term").groupBy("unit", "template", "license").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
-    cosine = dots.join(norms, "unit").select("unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= LINE_COSINE)
-    best = settle(cosine.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("order"), F.col("license"))).alias("b")).select("unit", "b.license", (-F.col("b.order")).alias("cosine")), "best")
-    matched = join_to_one(units, best, hot_keys(seen, "unit"), "unit").where("license IS NOT NULL")
+    norms = vectors.groupBy("uid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = vectors.join(sides, "term").groupBy("uid", "template", "license").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
+    cosine = dots.join(norms, "uid").select("uid", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= LINE_COSINE)
+    best = settle(cosine.groupBy("uid").agg(F.min(F.struct((-F.col("cosine")).alias("order"), F.col("license"))).alias("b")).select("uid", "b.license", (-F.col("b.order")).alias("cosine")), "best")
+    uses = units.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    matched = join_to_one(units.drop("unit"), best, hot_keys(uses, "uid"), "uid").where("license IS NOT NULL")
     first = F.min(F.struct((-F.col("cosine")).alias("order"), F.col("license")))
     own = settle(matched.groupBy("doc_id", "path").agg(first.alias("b"), F.max(F.when(F.col("whole"), F.col("cosine"))).alias("whole")).select("doc_id", "path", "b.license", (-F.col("b.order")).alias("cosine"), "whole"), "own")
     # Directories that a file speaks for, then every directory's nearest one at or above it.
