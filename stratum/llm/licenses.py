@@ -45,8 +45,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-#: All but letters, digits and dots of ASCII ends a term; a dot does unless a digit follows.
-_MARKS = "\t\n\r!\"#$%&()*+,-/:;<=>?@[]^_`{|}~'\\"
+#: All but a-z, 0-9 and dots ends a term, whatever its script; a dot does unless a digit follows. These are the ASCII ones.
+_MARKS = "".join(c for c in map(chr, range(128)) if not re.match("[a-z0-9.]", c))
 _OTHER = "<other>"
 #: Template terms so common in any text that units with no other template term are left out at the first pass. That this
 #: loses none is verified once document frequencies are known; if it weren't so, all texts would be kept.
@@ -55,14 +55,13 @@ _COMMON = ("all", "and", "any", "are", "by", "for", "in", "into", "is", "of", "o
 
 def terms_of(text: str) -> list[str]:
     """What the SQL expression of ``_terms`` gives."""
-    bare = re.sub(r"\.(?![0-9])", " ", text.lower()).translate(str.maketrans(_MARKS, " " * len(_MARKS)))
-    return [w for w in bare.split(" ") if w]
+    return [w for w in re.split(r"(?:[^a-z0-9.]|\.(?![0-9]))+", text.lower()) if w]
 
 
 def _words(column: str) -> str:
-    """Terms and empty strings of lower-case text: a pattern that starts with a literal, then splitting at a plain character."""
-    marks = "".join({"\t": "\\t", "\n": "\\n", "\r": "\\r", "'": "\\'", "\\": "\\\\"}.get(c, c) for c in _MARKS)
-    return f"split(translate(regexp_replace({column}, '\\\\.(?![0-9])', ' '), '{marks}', '{' ' * len(_MARKS)}'), ' ')"
+    """Terms and empty strings of lower-case text: runs outside ASCII and dots by pattern, the other marks by ``translate``, then splitting at a plain character."""
+    marks = "".join(f"\\u{ord(c):04x}" for c in _MARKS)
+    return f"split(translate(regexp_replace({column}, '[^\\\\x00-\\\\x7f]+|\\\\.(?![0-9])', ' '), '{marks}', '{' ' * len(_MARKS)}'), ' ')"
 
 
 def _terms(column: str) -> str:

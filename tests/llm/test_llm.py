@@ -246,6 +246,29 @@ def test_license_inheritance(spark, none):
     assert licenses.scan(none.withColumn("path", F.lit("a"))).count() == 0
 
 
+def test_license_marks_outside_ascii(spark):
+    """Every character but a-z, 0-9 and inner dots ends a term, against a splitter of its own."""
+
+    def split(text):
+        out, word, text = [], "", text.lower()
+        for i, c in enumerate(text):
+            if c in "abcdefghijklmnopqrstuvwxyz0123456789" or (c == "." and text[i + 1 : i + 2] in tuple("0123456789")):
+                word += c
+            else:
+                out.append(word)
+                word = ""
+        return [w for w in [*out, word] if w]
+
+    notices = {"\u201cAll rights reserved\u201d": "Proprietary", "Licensed under the Apache\xa0License, Version\xa02.0": "Apache-2.0", "MIT\xa0License": "MIT", "Licensed under CC BY\u2011NC 4.0": "CC-BY-NC-4.0", "\xabReleased\u2014under\x0bthe\x0cMIT\u2003License\xbb": "MIT", "Stra\xdfe 1.5. v.2 .5 \U0001f600x\x00y\x7fz \u0130\u212a": None}
+    filler = [f"some words of code number {i}" for i in range(40)]
+    frame = spark.createDataFrame([(i, f"d{i}/f.txt", t) for i, t in enumerate([*notices, *filler])], "doc_id long, path string, text string")
+    assert all(r.w == split(r.text) for r in frame.select("text", F.expr(licenses._terms("lower(text)")).alias("w")).collect())
+    assert all(licenses.terms_of(t) == split(t) for t in notices)
+    got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    assert [got[i].license for i in range(len(notices))] == list(notices.values())
+    assert all(got[i].cosine == 1.0 for i in (0, 1, 3, 4))
+
+
 # 6
 
 
