@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import prompt_form
+from stratum.runtime import settle
 
 #: Routes in the order in which their shares are added up.
 ROUTES = ("dense_intent", "lexical_intent", "dense", "lexical", "identifier", "structured")
@@ -38,11 +41,22 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 100_000) -> DataFrame:
     """(query_id, id, score, rank): exact cosine of each query with every vector; ties by id.
 
-    vectors (id, vector), queries (query_id, vector). The queries are broadcast, so their number is
-    checked; more are to be asked in blocks. Norms are taken once a row, products per pair.
+    vectors (id, vector), queries (query_id, vector). Queries are broadcast, so over ``most_queries`` are
+    asked in blocks by a hash of query_id, each block against all vectors, its result a table of its own.
+    Norms are taken once a row, products per pair.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"over {most_queries} queries: ask them in blocks")
+    n = queries.count()
+    if n > most_queries:
+        # Blocks of half the bound, as a hash doesn't deal evenly.
+        count = -(-2 * n // most_queries)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(count))
+        queries = settle(queries.select("query_id", "vector"), "queries")
+        parts = [settle(_dense_block(vectors, queries.where(block == i), k), "dense-block") for i in range(count)]
+        return reduce(DataFrame.unionByName, parts)
+    return _dense_block(vectors, queries, k)
+
+
+def _dense_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     unit = lambda c: F.transform(c, lambda x: x.cast("double"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     v = vectors.select("id", unit(F.col("vector")).alias("v")).withColumn("nv", norm(F.col("v"))).where("nv > 0")

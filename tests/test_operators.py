@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,14 @@ def test_near_duplicates_brute_force(spark):
     assert all(r.group_id == "near-" + hashlib.sha256(json.dumps(sorted(str(x.member) for x in groups if x.root == r.root), separators=(",", ":")).encode()).hexdigest() for r in groups)
 
 
+def test_dense_topk_in_blocks(spark):
+    random.seed(9)
+    frame = spark.createDataFrame([(i, [random.uniform(-1, 1) for _ in range(4)]) for i in range(40)], "id long, vector array<double>")
+    queries = frame.where("id % 2 = 0").withColumnRenamed("id", "query_id")
+    whole, parted = (Counter(map(tuple, retrieval.dense_topk(frame, queries, 5, most).collect())) for most in (100, 7))
+    assert parted == whole and sum(parted.values()) == 100
+
+
 def test_tie_ranking_hangs_on_the_leader(spark):
     hits = spark.createDataFrame([(1, "b", 1.0), (1, "a", 1.0 - 8e-6), (1, "0", 1.0 - 16e-6), (1, "b", 0.5)], "query_id long, chunk_id string, score double")
     assert [r.chunk_id for r in retrieval.tie_ranked(hits).orderBy("rank").collect()] == ["a", "b", "0"]
