@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stratum.runtime import map_arrow, settle, spread
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 85
+#: Members of a bucket that meet in one cell.
+BUCKET_BLOCK = 2048
 
 
 def exact_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -75,12 +77,22 @@ def minhash_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     return map_arrow(spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), run, "id long, signature array<long>")
 
 
-def candidate_pairs(signatures: DataFrame) -> DataFrame:
-    """(a, b), a < b: ids that share a band of four signature rows. Of a band's bucket each member meets the smallest and its neighbour in order, so a bucket of copies makes no square of pairs."""
+def candidate_pairs(signatures: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
+    """(a, b), a < b: all pairs of ids that share a band of four signature rows.
+
+    A bucket of over ``block`` members is dealt into blocks by a hash of the id, and each two blocks meet in a
+    cell of their own, so no task gets a whole bucket's square. Pairs still grow with that square.
+    """
     banded = signatures.where("signature IS NOT NULL").select("id", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(slice(signature, b * {ROWS} + 1, {ROWS})))")).alias("band", "key"))
-    w = Window.partitionBy("band", "key").orderBy("id")
-    met = banded.select("id", F.first("id").over(w).alias("head"), F.lag("id").over(w).alias("before"))
-    return met.select(F.explode(F.array("head", "before")).alias("a"), F.col("id").alias("b")).where("a IS NOT NULL AND a < b").distinct()
+    banded = settle(banded, "bands")
+    shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / block).alias("blocks"))
+    own = banded.join(shared, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    cells = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = settle(cells.select("band", "key", "id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), "cells")
+    x, y = cells.alias("x"), cells.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "key", "low", "high")]
+    met = x.join(y, [*same, F.col("x.id") < F.col("y.id"), (F.col("x.low") == F.col("x.high")) | (F.col("x.own") != F.col("y.own"))])
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def confirmed_pairs(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:

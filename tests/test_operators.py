@@ -80,6 +80,17 @@ def test_near_duplicates_brute_force(spark):
     assert all(r.group_id == "near-" + hashlib.sha256(json.dumps(sorted(str(x.member) for x in groups if x.root == r.root), separators=(",", ":")).encode()).hexdigest() for r in groups)
 
 
+def test_candidates_are_all_pairs_of_a_bucket(spark):
+    random.seed(8)
+    rows = [(i, [random.randint(0, 2) for _ in range(128)] if i % 3 else [7] * 64 + [i] * 64) for i in range(60)] + [(99, None)]
+    held = [(i, s) for i, s in rows if s]
+    want = {(a, b) for a, s in held for b, t in held if a < b and any(s[k : k + 4] == t[k : k + 4] for k in range(0, 128, 4))}
+    frame = spark.createDataFrame(rows, "id long, signature array<long>")
+    for block in (3, 2048):
+        got = [(r.a, r.b) for r in dedup.candidate_pairs(frame, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_dense_topk_in_blocks(spark):
     random.seed(9)
     frame = spark.createDataFrame([(i, [random.uniform(-1, 1) for _ in range(4)]) for i in range(40)], "id long, vector array<double>")
