@@ -1,18 +1,25 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above. DataFrame functions only.
 
 The vector space has the templates' terms and one more for all other terms. Document frequencies are
-counted over all files. Units are a file's lines and its whole text; equal units are scored once. A unit
-can reach ``LINE_COSINE`` only if it has one of the cue terms: for all other terms together, every
-template's part in them is below that bound (Cauchy-Schwarz), so leaving out units without a cue loses none.
-
-A file speaks for its directory if it has a licence file's name, or if its whole text is a notice
-(``FILE_COSINE``). A file without a licence of its own gets that of the nearest such directory above.
+counted over all files. Units are a file's lines, its neighbouring lines that aren't blank joined by twos,
+its whole text, and windows: as many consecutive terms as a template has, at every place of the text,
+across lines. Equal units are scored once. A unit can reach ``LINE_COSINE`` only if it has one of the cue
+terms: for all other terms together, every template's part in them is below that bound (Cauchy-Schwarz),
+so leaving out units without a cue loses none. A window is scored against the templates of its length and,
+as nothing dilutes a notice there, holds from ``WINDOW_COSINE``: at less, a lone "MIT" would be a notice.
+
+A whole text is also scored against the texts of licences (``FULL_TEXTS``), by the cosine of the sets of
+three terms in a row; from ``FILE_COSINE`` that decides before any notice, as such texts name other licences.
+
+A file speaks for its directory if it has a licence file's name, or if its whole text is a notice or a
+licence's text (``FILE_COSINE``). A file without a licence of its own gets that of the nearest such directory above.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +30,11 @@ from stratum.sources.tables import table
 
 LINE_COSINE = 0.6
 FILE_COSINE = 0.85
+WINDOW_COSINE = 0.85
 LICENCE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
+#: Texts of licences by SPDX identifier; each has one of the words, and so has what is compared with them.
+FULL_TEXTS = Path(__file__).resolve().parent / "licence_texts"
+_FULL_WORDS = ("license", "permission", "redistribution", "unencumbered")
 #: Notices by SPDX identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3"),
@@ -93,6 +104,47 @@ def _cues(idf: dict[str, float], templates: list[tuple[str, dict[str, int]]], le
     return sorted(set(idf) - common - {_OTHER})
 
 
+def _reach(column: str, templates: list[dict[str, int]], idf: dict[str, float], least: float) -> str:
+    """Whether the terms in ``column`` can reach ``least`` with one of the templates: its part in them is that large (Cauchy-Schwarz)."""
+    shares = []
+    for terms in templates:
+        weights = {t: (n * idf[t]) ** 2 for t, n in terms.items()}
+        shares.append("array(" + ", ".join(f"struct('{t}' AS t, {w / sum(weights.values())!r}D AS p)" for t, w in sorted(weights.items())) + ")")
+    return f"exists(array({', '.join(shares)}), k -> aggregate(k, 0D, (s, x) -> s + if(array_contains({column}, x.t), x.p, 0D)) >= {least**2 - 1e-9!r}D)"
+
+
+def _windows(templates: list[dict[str, int]], idf: dict[str, float]) -> str:
+    """Of the term array ``all``: the windows (m, unit) that can reach WINDOW_COSINE with a template of their length; those around a cue, each once."""
+    parts = []
+    for m in sorted({sum(t.values()) for t in templates}):
+        fitting = [t for t in templates if sum(t.values()) == m]
+        cues = _array(_cues(idf, [("", t) for t in fitting], WINDOW_COSINE))
+        places = f"filter(sequence(1, size(all)), p -> array_contains({cues}, element_at(all, p)))"
+        starts = f"array_distinct(flatten(transform({places}, p -> sequence(greatest(1, p - {m - 1}), p))))"
+        cut = f"array_distinct(transform(filter({starts}, i -> i + {m - 1} <= size(all)), i -> slice(all, i, {m})))"
+        parts.append(f"transform(filter({cut}, w -> {_reach('w', fitting, idf, WINDOW_COSINE)}), w -> struct({m} AS m, array_join(w, ' ') AS unit))")
+    return f"if(size(all) = 0, array(), concat({', '.join(parts)}))"
+
+
+def _triples(terms: str) -> str:
+    """The set of three terms in a row, as hashes; empty of fewer than three."""
+    return f"if(size({terms}) < 3, cast(array() as array<bigint>), array_distinct(transform(sequence(1, size({terms}) - 2), i -> xxhash64(slice({terms}, i, 3)))))"
+
+
+def _full_matches(texts: DataFrame) -> DataFrame:
+    """(doc_id, path, license, cosine) of whole texts (doc_id, path, uid, all) that are a licence's text."""
+    rows = ", ".join(f"('{f.stem}', '{' '.join(terms_of(f.read_text()))}')" for f in sorted(FULL_TEXTS.glob("*.txt")))
+    full = texts.sparkSession.sql(f"SELECT license, {_triples('w')} AS t FROM (SELECT license, split(text, ' ') AS w FROM VALUES {rows} AS t(license, text))")
+    full = settle(full.select("license", F.size("t").alias("size"), F.explode("t").alias("triple")), "full-texts")
+    held = settle(texts.select("doc_id", "path", "uid", F.expr(_triples("all")).alias("t")), "triples")
+    parts = held.groupBy("uid").agg(F.first("t").alias("t")).select("uid", F.size("t").alias("n"), F.explode("t").alias("triple"))
+    shared = parts.join(F.broadcast(full), "triple").groupBy("uid", "license", "n", "size").agg(F.count(F.lit(1)).alias("shared"))
+    cosine = shared.select("uid", "license", F.round(F.col("shared") / F.sqrt(F.col("n").cast("double") * F.col("size")), 6).alias("cosine")).where(F.col("cosine") >= FILE_COSINE)
+    best = settle(cosine.groupBy("uid").agg(F.min(F.struct((-F.col("cosine")).alias("order"), F.col("license"))).alias("b")).select("uid", "b.license", (-F.col("b.order")).alias("cosine")), "full-best")
+    uses = held.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    return join_to_one(held.select("doc_id", "path", "uid"), best, hot_keys(uses, "uid"), "uid").where("license IS NOT NULL").drop("uid")
+
+
 def _dir(path: str) -> str:
     return f"regexp_replace({path}, '/?[^/]*$', '')"
 
@@ -100,7 +152,7 @@ def _dir(path: str) -> str:
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, path, license, how, cosine, from_dir) of every row.
 
-    how: ``own`` (a line or the whole text reaches LINE_COSINE), ``inherited`` or ``none``; cosine is
+    how: ``own`` (a unit or the whole text reaches its bound), ``inherited`` or ``none``; cosine is
     that of the deciding unit, rounded to six digits; from_dir the directory inherited from, else null.
     Of equal cosines the first licence by name holds. Null text: no terms; null path: a file in the
     root directory. Rows with the same id and path share one result; each gets a row. No rows give none.
@@ -125,33 +177,48 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     idf = _idf(pruned, vocabulary)
     cue_terms = _cues(idf, counted, LINE_COSINE)
     cues = _array(cue_terms)
-    # Units with a cue: lines, and whole texts of files with such a line.
-    cued = pruned.where("text IS NOT NULL") if not set(cue_terms) & set(_COMMON) else worded
-    cued = cued.select("doc_id", "path", "text").where(F.expr(f"arrays_overlap({_words('text')}, {cues})"))
-    lines = F.expr(f"filter(split(text, '\\\\n'), l -> arrays_overlap({_words('l')}, {cues}))")
-    units = settle(cued.select("doc_id", "path", F.explode(F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))).alias("u")).select("doc_id", "path", "u.whole", "u.unit", F.md5("u.unit").alias("uid")), "units")
+    # Units with a cue: lines and pairs of lines, and whole texts of files with such a line. Windows where the file has the terms for one.
+    whole_cues = set(cue_terms) & set(_COMMON)
+    cued = listed if whole_cues else pruned.where("text IS NOT NULL")
+    by_length = [terms for _, terms in counted]
+    # One use of the terms: where they aren't read from a table, each use splits the text again.
+    cued = cued.where(F.expr(f"arrays_overlap(terms, {_array(sorted({*cue_terms, *_FULL_WORDS}))})"))
+    lined = settle(cued.select("doc_id", "path", F.expr(f"filter(transform(split(text, '\\\\n'), l -> {_terms('l')}), l -> size(l) > 0)").alias("lines")), "lines")
+    split_up = settle(lined.withColumn("all", F.flatten("lines")).withColumn("terms", F.expr(f"array_intersect(all, {_array(vocabulary)})")), "split")
+    unit = lambda x, whole=False: F.struct(F.lit(whole).alias("whole"), F.lit(None).cast("int").alias("m"), F.array_join(x, " ").alias("unit"))
+    paired = F.expr("if(size(lines) < 2, cast(array() as array<array<string>>), transform(sequence(1, size(lines) - 1), i -> concat(element_at(lines, i), element_at(lines, i + 1))))")
+    with_cue = F.filter(F.concat("lines", paired), lambda x: F.arrays_overlap(x, F.expr(cues)))
+    windows = F.when(F.expr(_reach("terms", by_length, idf, WINDOW_COSINE)), F.transform(F.expr(_windows(by_length, idf)), lambda x: F.struct(F.lit(False).alias("whole"), x.m.alias("m"), x.unit.alias("unit"))))
+    wholes = F.when(F.expr(f"arrays_overlap(terms, {cues})"), F.array(unit(F.col("all"), True)))
+    none = F.array().cast("array<struct<whole:boolean,m:int,unit:string>>")
+    every = F.concat(F.transform(with_cue, lambda x: unit(x)), F.coalesce(wholes, none), F.coalesce(windows, none))
+    units = settle(split_up.select("doc_id", "path", F.explode(every).alias("u")).select("doc_id", "path", "u.whole", "u.m", "u.unit", F.md5(F.concat_ws(":", F.coalesce(F.col("u.m").cast("string"), F.lit("")), "u.unit")).alias("uid")), "units")
+    full = _full_matches(split_up.where(F.expr(f"arrays_overlap(terms, {_array(list(_FULL_WORDS))})")).select("doc_id", "path", F.md5(F.array_join("all", " ")).alias("uid"), "all"))
     # A unit goes by its hash from here on: whole texts are carried through one aggregation only.
-    seen = units.groupBy("uid").agg(F.first("unit").alias("unit"))
+    seen = units.groupBy("uid").agg(F.first("unit").alias("unit"), F.first("m").alias("m"))
     known = _array(vocabulary)
-    tf = seen.select("uid", F.explode(F.expr(f"transform({_terms('unit')}, w -> if(array_contains({known}, w), w, '{_OTHER}'))")).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = seen.select("uid", "m", F.explode(F.expr(f"transform(split(unit, ' '), w -> if(array_contains({known}, w), w, '{_OTHER}'))")).alias("term")).groupBy("uid", "m", "term").agg(F.count(F.lit(1)).alias("tf"))
     rows = ", ".join(f"('{w}', {v!r}D)" for w, v in sorted(idf.items()))
     weights = F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} AS t(term, idf)"))
-    vectors = tf.join(weights, "term").select("uid", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vectors = tf.join(weights, "term").select("uid", "m", "term", (F.col("tf") * F.col("idf")).alias("w"))
     parts = []
     for k, (name, terms) in enumerate(counted):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in terms.items()))
-        parts += [f"('{t}', {k}, '{name}', {n * idf[t] / norm!r}D)" for t, n in sorted(terms.items())]
-    sides = F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join(parts)} AS t(term, template, license, part)"))
+        parts += [f"('{t}', {k}, '{name}', {sum(terms.values())}, {n * idf[t] / norm!r}D)" for t, n in sorted(terms.items())]
+    sides = F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join(parts)} AS t(term, template, license, length, part)"))
     norms = vectors.groupBy("uid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vectors.join(sides, "term").groupBy("uid", "template", "license").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
-    cosine = dots.join(norms, "uid").select("uid", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= LINE_COSINE)
+    dots = vectors.join(sides, "term").where("m IS NULL OR m = length").groupBy("uid", "m", "template", "license").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
+    cosine = dots.join(norms, "uid").select("uid", "license", "m", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= F.when(F.col("m").isNull(), LINE_COSINE).otherwise(WINDOW_COSINE))
     best = settle(cosine.groupBy("uid").agg(F.min(F.struct((-F.col("cosine")).alias("order"), F.col("license"))).alias("b")).select("uid", "b.license", (-F.col("b.order")).alias("cosine")), "best")
     uses = units.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
-    matched = join_to_one(units.drop("unit"), best, hot_keys(uses, "uid"), "uid").where("license IS NOT NULL")
+    matched = join_to_one(units.drop("unit", "m"), best, hot_keys(uses, "uid"), "uid").where("license IS NOT NULL")
     first = F.min(F.struct((-F.col("cosine")).alias("order"), F.col("license")))
-    own = settle(matched.groupBy("doc_id", "path").agg(first.alias("b"), F.max(F.when(F.col("whole"), F.col("cosine"))).alias("whole")).select("doc_id", "path", "b.license", (-F.col("b.order")).alias("cosine"), "whole"), "own")
+    matched = matched.select("doc_id", "path", F.lit(1).alias("after"), "whole", "license", "cosine").unionByName(full.select("doc_id", "path", F.lit(0).alias("after"), F.lit(True).alias("whole"), "license", "cosine"))
+    deciding = F.min(F.struct("after", (-F.col("cosine")).alias("order"), F.col("license")))
+    own = settle(matched.groupBy("doc_id", "path").agg(deciding.alias("b"), F.max(F.when(F.col("whole"), F.col("cosine"))).alias("whole")).select("doc_id", "path", "b.license", (-F.col("b.order")).alias("cosine"), "whole"), "own")
     # Directories that a file speaks for, then every directory's nearest one at or above it.
     speaks = own.where(F.col("path").rlike(LICENCE_NAMES) | (F.col("whole") >= FILE_COSINE)).withColumn("dir", F.expr(_dir("path")))
+    first = F.min(F.struct((-F.col("cosine")).alias("order"), F.col("license")))
     licensed = speaks.groupBy("dir").agg(first.alias("b")).select(F.col("dir").alias("from_dir"), "b.license", (-F.col("b.order")).alias("cosine"))
     placed = settle(chosen.select("doc_id", "path", F.expr(_dir("path")).alias("dir")), "placed")
     counts = placed.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))

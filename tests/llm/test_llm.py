@@ -269,6 +269,55 @@ def test_license_marks_outside_ascii(spark):
     assert all(got[i].cosine == 1.0 for i in (0, 1, 3, 4))
 
 
+def test_license_windows_and_texts(spark):
+    """Notices inside longer lines and over line breaks against every window; a licence's text speaks for its directory."""
+    import math
+
+    random.seed(5)
+    noise = lambda n: " ".join(random.choice("foo bar baz module toolkit parse value table row page".split()) for _ in range(n))
+    mit = (licenses.FULL_TEXTS / "MIT.txt").read_text()
+    gpl = (licenses.FULL_TEXTS / "GPL-3.0.txt").read_text()
+    texts = [
+        "This module is part of the Foo toolkit by Jane Doe and contributors. It is released under the MIT License. See the project page for details and support.",
+        "Copyright 2019 to 2024 by Foo Bar Incorporated and its many partners and subsidiaries worldwide, all rights reserved.",
+        f"{noise(30)} licensed under the\n\n  Apache License,\nVersion 2.0 {noise(40)}",
+        f"{noise(20)} MIT {noise(20)} and the license of {noise(20)} all about rights {noise(9)}",
+        f"{noise(15)} Redistribution and use in source and binary forms, with or without modification,\nare permitted {noise(15)}",
+        "see the project page\nReleased under this\nMIT License for all",
+        "All rights", "", *(noise(25) for _ in range(20)),
+    ]
+    counted = [(n, Counter(licenses.terms_of(t))) for n, t in licenses.TEMPLATES]
+    known = {w for _, c in counted for w in c}
+    files = [*texts, f"Copyright 2021 Jane Doe\n\n{mit}", noise(10), gpl, noise(11)]
+    held = [{w if w in known else "*" for w in licenses.terms_of(t)} for t in files]
+    idf = {w: math.log((1 + len(held)) / (1 + sum(w in h for h in held))) + 1 for w in known | {"*"}}
+
+    def best(text):
+        lines = [x for x in map(licenses.terms_of, text.split("\n")) if x]
+        all_terms = [w for x in lines for w in x]
+        units = [(u, None) for u in [*lines, *(a + b for a, b in zip(lines, lines[1:])), all_terms]]
+        units += [(all_terms[i : i + m], m) for m in {c.total() for _, c in counted} for i in range(len(all_terms) - m + 1)]
+        found = []
+        for unit, m in units:
+            tf = Counter(w if w in known else "*" for w in unit)
+            norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
+            for name, c in counted:
+                size = norm * math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+                cos = round(sum(tf[w] * n * idf[w] ** 2 for w, n in c.items()) / size, 6) if size else 0
+                if cos >= (0.6 if m is None else 0.85) and m in (None, c.total()):
+                    found.append((-cos, name))
+        return min(found, default=None)
+
+    n = len(texts)
+    paths = [f"d{i}/f.txt" for i in range(n)] + ["m/about.txt", "m/sub/x.py", "g/terms.txt", "g/y.py"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(zip(range(n + 4), paths, files)), "doc_id long, path string, text string")).collect()}
+    for i, text in enumerate(texts):
+        want = best(text)
+        assert got[i].license == (want and want[1]) and (not want or abs(got[i].cosine + want[0]) < 2e-6), (i, got[i], want)
+    assert [got[i].license for i in (0, 1, 2, 3, 4)] == ["MIT", "Proprietary", "Apache-2.0", None, "BSD-3-Clause"]
+    assert [(got[i].license, got[i].how, got[i].from_dir) for i in range(n, n + 4)] == [("MIT", "own", None), ("MIT", "inherited", "m"), ("GPL-3.0", "own", None), ("GPL-3.0", "inherited", "g")]
+
+
 # 6
 
 
