@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stratum.llm.common import blocks, hot_keys, join_to_one
 from stratum.llm.components import components
@@ -121,26 +122,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or empty texts have fingerprint zero and link like any other. A null id is never a component's
     id unless all ids of the component are null. Rows with the same id each get a row. No rows, no rows.
     """
+    return _grouped(docs, id_col, text_col, most).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int = MOST_BITS) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; root tells components apart whose smallest ids are the same."""
     rows = settle(fingerprints(docs, id_col, text_col))
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(links(nodes.select("fp"), most)).withColumnsRenamed({"node": "fp", "component": "root"})
     joined = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    dims = settle(joined.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    out = join_to_one(rows, dims, hot_keys(nodes, "fp"), "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    dims = settle(joined.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+    return join_to_one(rows, dims, hot_keys(nodes, "fp"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns of ``docs`` and ``__fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches, "__text"):
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fingerprint_block(texts).view(np.int64))], [*part.schema.names[:-1], "__fp"])
+
+    return map_arrow(docs.withColumn("__text", F.col(text_col).cast("string")), run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, with all their columns: one of each group.
 
-    Rows without an id are kept, as no smaller id can be told. Of rows that share an id, and so would all stay, one stays.
+    Rows without an id are kept, as no smaller id can be told. Where rows share an id, a row goes by id and
+    fingerprint: each component keeps one row with its smallest id, of several fingerprints the smallest.
     """
-    found = settle(near_duplicates(docs, id_col, text_col))
-    heads = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = settle(_grouped(docs, id_col, text_col))
+    heads = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("head")).where("head")
     kept = docs.join(heads.select(F.col("doc_id").alias("__head")), F.col(id_col) == F.col("__head"), "left_semi")
-    if not heads.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
+    clashing = heads.where("n > 1").select("doc_id")
+    if not clashing.isEmpty():
+        # Fingerprints are taken again of the rows with such ids only.
+        ids = clashing.select(F.col("doc_id").alias("__head"))
+        chosen = found.where("doc_id = component_id").join(clashing, "doc_id", "left_semi").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("b")).select(F.col("b.doc_id").alias("__head"), F.col("b.fp").alias("__chosen"))
+        shared = _with_fingerprint(docs.join(ids, F.col(id_col) == F.col("__head"), "left_semi"), text_col)
+        shared = shared.join(chosen, (F.col(id_col) == F.col("__head")) & (F.col("__fp") == F.col("__chosen")), "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp")
+        kept = kept.join(ids, F.col(id_col) == F.col("__head"), "left_anti").unionByName(shared)
     if docs.schema[id_col].nullable:
         kept = kept.unionByName(docs.where(F.col(id_col).isNull()))
     return kept

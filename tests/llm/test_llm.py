@@ -431,6 +431,14 @@ def test_simhash_brute_force(spark, documents, odd, odd_rows, none):
     assert Counter(r.doc_id for r in simhash.keep_representatives(odd).collect())[5] <= 1
 
 
+def test_representatives_of_clashing_ids(spark):
+    random.seed(12)
+    one, two, three = (" ".join(random.choice("abcdefghij") + str(random.randint(0, 999)) for _ in range(80)) for _ in range(3))
+    rows = [(5, one), (5, two), (5, three), (5, two), (2, three), (7, one), (8, "x y"), (None, one)]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(5, one), (5, two), (2, three), (8, "x y"), (None, one)])
+
+
 def test_links_lose_none(spark):
     random.seed(6)
     base = [random.getrandbits(64) for _ in range(25)]
