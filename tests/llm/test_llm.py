@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import shutil
 import struct
 import zlib
 from collections import Counter
@@ -474,18 +475,23 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_words_equal_the_library(documents):
     random.seed(8)
-    letters = "abc  .,'\n\t12é漢_$- \u0085sST"
-    texts = [r.text for r in documents.collect()] + ["".join(random.choices(letters, k=random.randint(0, 50))) for _ in range(3000)] + ["don't it's 'll", "<|endoftext|> x", " lead", "trail ", "ǅa ªb"]
-    encoder = bpe.WordEncoder.at(bpe.default_tokenizer())
-    got = encoder.encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library_ids(texts)
-    assert all(encoder.token_sizes()[np.frombuffer(x, "<u4")].sum() == len(t.encode()) for x, t in zip(got, texts, strict=True))
+    letters = "abc  .,'\n\t12é漢_$- \u0085sST\u00a0\u2003\u3000\x00\x1c(|>"
+    texts = [r.text for r in documents.collect()] + ["".join(random.choices(letters, k=random.randint(0, 50))) for _ in range(3000)]
+    texts += [" ".join(t.split()) for t in texts[-2000:]] + ["don't it's 'll", "<|endoftext|> x", "a<|endoftext|>", "<|endoftext", " lead", "trail ", "ǅa ªb", "", "a" * 40 + ",", "one,two... three?!"]
+    for most in (bpe.MOST_KEPT, 100):
+        encoder = bpe.WordEncoder(bpe.default_tokenizer())
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(bpe, "MOST_KEPT", most)
+            patch.setattr(bpe, "MOST_RECENT", 50)
+            stream, counts = encoder.encode([t.encode() for t in texts])
+        got = np.split(stream, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in got] == library_ids(texts)
+        assert all(encoder.token_sizes()[x].sum() == len(t.encode()) for x, t in zip(got, texts, strict=True))
 
 
 def test_store_round_trip(spark, tmp_path, odd, odd_rows, none):
@@ -505,15 +511,66 @@ def test_store_round_trip(spark, tmp_path, odd, odd_rows, none):
     assert idstore.read_documents(spark, str(tmp_path / "empty")).count() == 0
 
 
-def test_store_tells_damage(spark, tmp_path, documents):
+def test_store_of_special_tokens_and_copies(spark, tmp_path):
+    texts = [(5, "<|endoftext|> x"), (3, "a\nb"), (5, "<|endoftext|> x"), (4, "<|endoftext|> x"), (None, None), (None, None)]
     path = str(tmp_path / "store")
-    idstore.write_store(documents.limit(20), path)
-    index = spark.read.parquet(f"{path}/index")
-    (tmp_path / "store" / "index").rename(tmp_path / "was")
-    moved = spark.read.schema(index.schema).parquet(str(tmp_path / "was"))
-    moved.withColumn("name", F.when(F.col("row") == 1, F.unhex(F.lit("00" * 16))).otherwise(F.col("name"))).write.parquet(f"{path}/index")
+    idstore.write_store(spark.createDataFrame(texts, "doc_id long, text string"), path)
+    rows = sorted(idstore.read_documents(spark, path).collect(), key=lambda r: r.start)
+    want = [(i, [*library_ids([t or ""])[0], 2]) for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0))]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want]
+    assert [50256, 2124, 2] in [x for _, x in want]
+    assert Counter((r.doc_id, r.ids) for r in idstore.read_ids(spark, path).collect()) == Counter((i, np.array(x, "<u2").tobytes()) for i, x in want)
+
+
+DAMAGES = {
+    "name": lambda x: x.withColumn("name", F.when(F.col("row") == 1, F.unhex(F.lit("00" * 16))).otherwise(F.col("name"))),
+    "doc_id": lambda x: x.withColumn("doc_id", F.col("doc_id") + 7),
+    "start": lambda x: x.withColumn("start", F.col("start") + 5),
+    "copies": lambda x: x.withColumn("copies", F.when(F.col("row") == 2, 2).otherwise(F.col("copies")).cast("long")),
+    "rows": lambda x: x.where("row <> 3"),
+    "all rows": lambda x: x.limit(0),
+    "twice": lambda x: x.unionByName(x),
+}
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory, documents):
+    path = tmp_path_factory.mktemp("stores") / "store"
+    idstore.write_store(documents.limit(20), str(path))
+    return path
+
+
+@pytest.mark.parametrize("kind", sorted(DAMAGES))
+def test_store_tells_damage_of_its_index(spark, tmp_path, store, kind):
+    shutil.copytree(store, tmp_path / "store")
+    shutil.rmtree(tmp_path / "store" / "index")
+    DAMAGES[kind](idstore._index(spark, str(store))).write.parquet(str(tmp_path / "store" / "index"))
+    with pytest.raises(ValueError, match="manifest"):
+        idstore.read_documents(spark, str(tmp_path / "store"))
+
+
+def test_store_tells_a_lost_manifest(spark, tmp_path, store):
+    shutil.copytree(store, tmp_path / "store")
+    shutil.rmtree(tmp_path / "store" / "manifest")
+    spark.read.parquet(f"{store}/manifest").limit(0).write.parquet(str(tmp_path / "store" / "manifest"))
     with pytest.raises(ValueError, match="manifest"):
-        idstore.read_documents(spark, path)
+        idstore.read_documents(spark, str(tmp_path / "store"))
+
+
+@pytest.mark.parametrize("kind,change", [("recipe", "lost"), ("chunk", "lost"), ("recipe", "other"), ("chunk", "other")])
+def test_store_tells_damaged_objects(spark, tmp_path, store, kind, change):
+    shutil.copytree(store, tmp_path / "store")
+    shutil.rmtree(tmp_path / "store" / "objects" / f"kind={kind}")
+    schema = "name binary, doc_id long, n long, copies long, payload binary"
+    objects = spark.read.schema(schema).parquet(f"{store}/objects/kind={kind}")
+    least = objects.agg(F.min("name")).first()[0]
+    if change == "lost":
+        objects = objects.where(F.col("name") != F.lit(least))
+    else:
+        objects = objects.withColumn("payload", F.when(F.col("name") == F.lit(least), F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.unhex(F.lit("EE")))).otherwise(F.col("payload")))
+    objects.write.parquet(str(tmp_path / "store" / "objects" / f"kind={kind}"))
+    with pytest.raises(Exception, match="no recipe|not stored|other bytes"):
+        idstore.read_documents(spark, str(tmp_path / "store")).collect()
 
 
 def test_crc_of_parts():
@@ -547,6 +604,20 @@ def test_section_tokens_brute_force(spark, odd, odd_rows, none, rule):
     assert token_counts.section_tokens(none).count() == 0
 
 
+def test_section_tokens_of_given_sections_and_fields(spark):
+    texts = ["é漢字 one two", "abc", "", None, "<|endoftext|> x"]
+    begins = [[3, 3, 99, 1, -1, None], [], None, [1], [2, 14]]
+    docs = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(zip(texts, begins, strict=True))], "doc_id long, text string, at array<int>")
+    rows = token_counts.section_tokens(docs, begins_col="at").orderBy("doc_id", "section").collect()
+    assert [(r.doc_id, r.begin_char, r.end_char) for r in rows] == [(0, 0, 1), (0, 1, 3), (0, 3, 11), (1, 0, 3), (2, 0, 0), (3, 0, 0), (4, 0, 2), (4, 2, 14), (4, 14, 15)]
+    for i, t in enumerate(texts):
+        assert sum(r.n_tokens for r in rows if r.doc_id == i) == len(library_ids([t or ""])[0])
+    fields = spark.createDataFrame([(1, "a title", None, "the body"), (2, None, None, None)], "doc_id long, title string, head string, text string")
+    rows = token_counts.field_tokens(fields, ["title", "head", "text"]).orderBy("doc_id", "section").collect()
+    assert [(r.doc_id, r.begin_char, r.end_char) for r in rows] == [(1, 0, 8), (1, 8, 9), (1, 9, 17), (2, 0, 1), (2, 1, 2)]
+    assert sum(r.n_tokens for r in rows if r.doc_id == 1) == len(library_ids(["a title\n\nthe body"])[0])
+
+
 # All of them
 
 
