@@ -1,10 +1,13 @@
 """Benchmark decontamination by winnowing.
 
 Texts are words; a fingerprint is the smallest hash among the ``k``-grams of a sliding window of
-``span - k + 1`` of them. Two texts that share ``span`` words pick the same fingerprint inside that
-span, so joining the fingerprints of documents and items loses no shared span. Hits are extended to
-both sides as far as the words agree; extents of ``span`` words or more count. An item of fewer words
-is a window of its own and is looked up whole, for each length that occurs.
+``span - k + 1`` of them. Two texts that share ``span`` words pick the same fingerprint at the same
+place inside that span, so joining the fingerprints of documents and items loses no shared span. A hit
+is extended to both sides through the windows of ``span`` words that hold the fingerprint: each is
+looked up among the items' distinct windows, which know the items they stand in. So a hit costs
+``span - k + 1`` lookups however often its words repeat in the document or the items, and no pairs of
+places are made. Longer shared spans are unions of such windows. An item of fewer words is a window of
+its own and is looked up whole, for each length that occurs. Found windows are compared byte for byte.
 
 The items' index is sent to the workers in blocks of at most ``INDEX_BYTES`` of item text, so what is
 broadcast has a bound however large the benchmark is; the documents are read once for each block.
@@ -13,6 +16,7 @@ broadcast has a bound however large the benchmark is; the documents are read onc
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,80 +102,99 @@ class Words:
         return chosen, grams[chosen]
 
 
+class Windows:
+    """The distinct windows of one length of all items: sorted hashes, a place of each, and the set of items it stands in."""
+
+    def __init__(self, words: Words, length: int, places: np.ndarray):
+        self.length = length
+        hashes = words.grams(length)[0][places]
+        order = np.argsort(hashes, kind="stable")
+        places, hashes = places[order], hashes[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        self.hashes, self.places = hashes[fresh], places[fresh]
+        window = np.cumsum(fresh) - 1
+        for j in range(length):
+            if (words.hashes[places + j] != words.hashes[self.places[window] + j]).any():
+                raise ValueError("two windows of other words have one hash")
+        pairs = np.unique(np.stack([window, words.text_of[places]], axis=1), axis=0)
+        starts = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])) if len(pairs) else np.zeros(0, np.int64)
+        sets: dict[bytes, int] = {}
+        self.sets: list[np.ndarray] = []
+        self.set_of = np.zeros(len(self.hashes), np.int64)
+        for w, members in enumerate(np.split(pairs[:, 1], starts[1:]) if len(pairs) else ()):
+            at = sets.setdefault(members.tobytes(), len(sets))
+            if at == len(self.sets):
+                self.sets.append(members)
+            self.set_of[w] = at
+
+    def find(self, items: Words, words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of places of whole windows in ``words``: those whose window is an item's, and which window."""
+        hashes = words.grams(self.length)[0][places]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = np.flatnonzero(self.hashes[at] == hashes)
+        places, at = places[known], at[known]
+        for j in range(self.length):
+            same = words.hashes[places + j] == items.hashes[self.places[at] + j]
+            places, at = places[same], at[same]
+        equal = np.fromiter((words.bytes_of(p, self.length) == items.bytes_of(q, self.length) for p, q in zip(places.tolist(), self.places[at].tolist(), strict=True)), bool, len(places))
+        return places[equal], at[equal]
+
+
 class Index:
-    """Winnowed fingerprints of items with ``span`` words or more; whole shorter items by length."""
+    """Winnowed fingerprints and windows of items with ``span`` words or more; whole shorter items by length."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], k: int = GRAM, span: int = SPAN):
         self.k, self.span = k, span
         self.ids = [i for i, _ in items]
         self.words = Words([t for _, t in items])
         first = np.concatenate([[0], np.cumsum(self.words.counts)])
-        places, hashes = self.words.winnowed(k, span)
-        self.tables = [(0, *self._sorted(places, hashes))]
-        for m in range(1, span):
-            starts = first[:-1][self.words.counts == m]
-            if len(starts):
-                grams, _ = self.words.grams(m)
-                self.tables.append((m, *self._sorted(starts, grams[starts])))
-
-    @staticmethod
-    def _sorted(places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(hashes, kind="stable")
-        return hashes[order], places[order]
-
-    def _extended(self, words: Words, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, start in the item and length of the longest agreeing run about each hit."""
-        reach = []
-        for step, offset in ((-1, -1), (1, self.k)):
-            far, live = np.zeros(len(p), np.int64), np.arange(len(p))
-            while len(live):
-                a, b = p[live] + offset + step * far[live], q[live] + offset + step * far[live]
-                good = (a >= 0) & (b >= 0) & (a < len(words.hashes)) & (b < len(self.words.hashes))
-                a, b, live = a[good], b[good], live[good]
-                same = (words.hashes[a] == self.words.hashes[b]) & (words.text_of[a] == words.text_of[p[live]]) & (self.words.text_of[b] == self.words.text_of[q[live]])
-                live = live[same]
-                far[live] += 1
-            reach.append(far)
-        runs = np.unique(np.stack([p - reach[0], q - reach[0], self.k + reach[0] + reach[1]], axis=1), axis=0)
-        return runs[:, 0], runs[:, 1], runs[:, 2]
+        self.fingerprints = np.unique(self.words.winnowed(k, span)[1])
+        self.windows = []
+        for m in range(1, span + 1):
+            places = np.flatnonzero(self.words.grams(span)[1]) if m == span else first[:-1][self.words.counts == m]
+            if len(places):
+                self.windows.append(Windows(self.words, m, places))
+
+    def _extended(self, words: Words) -> np.ndarray:
+        """Places of the windows of ``span`` words that hold a fingerprint which is also an item's."""
+        places, hashes = words.winnowed(self.k, self.span)
+        if not len(places):
+            return places
+        at = np.minimum(np.searchsorted(self.fingerprints, hashes), len(self.fingerprints) - 1)
+        places = places[self.fingerprints[at] == hashes]
+        around = np.unique(places[:, None] - np.arange(self.span - self.k + 1))
+        around = around[(around >= 0) & (around <= len(words.hashes) - self.span)]
+        return around[words.text_of[around] == words.text_of[around + self.span - 1]]
 
     def search(self, words: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words are hit, and the items of each text that has any."""
-        hit, found = np.zeros(len(words.hashes), bool), {}
-        for m, hashes, places in self.tables:
-            if not len(hashes):
-                continue
-            if m:
-                grams, whole = words.grams(m)
-                at = np.flatnonzero(whole)
-                grams = grams[at]
+        change, found = np.zeros(len(words.hashes) + 1, np.int64), {}
+        for table_ in self.windows:
+            m = table_.length
+            if m == self.span:
+                candidates = self._extended(words)
             else:
-                at, grams = words.winnowed(self.k, self.span)
-            left = np.searchsorted(hashes, grams)
-            known = np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == grams)
-            if not len(known):
+                candidates = np.flatnonzero(words.grams(m)[1])
+            if not len(candidates):
                 continue
-            left = left[known]
-            many = np.searchsorted(hashes, grams[known], "right") - left
-            p = np.repeat(at[known], many)
-            q = places[np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            runs = (p, q, np.full(len(p), m)) if m else self._extended(words, p, q)
-            least = m or self.span
-            for a, b, n in zip(*(x.tolist() for x in runs), strict=True):
-                if n < least:
-                    continue
-                for s, e in self._agreeing(words, a, b, n, least):
-                    hit[s:e] = True
-                    found.setdefault(int(words.text_of[s]), set()).add(int(self.words.text_of[b]))
-        return hit, found
-
-    def _agreeing(self, words: Words, a: int, b: int, n: int, least: int) -> list[tuple[int, int]]:
-        """The parts of a run whose words agree byte for byte: the run, but for colliding hashes."""
-        x, y = words.bytes_of(a, n), self.words.bytes_of(b, n)
-        if x == y:
-            return [(a, a + n)]
-        stops = [-1, *(i for i in range(n) if x[i] != y[i]), n]
-        return [(a + s + 1, a + e) for s, e in zip(stops, stops[1:], strict=False) if e - s - 1 >= least]
+            places, which = table_.find(self.words, words, candidates)
+            np.add.at(change, places, 1)
+            np.add.at(change, places + m, -1)
+            for text, members in np.unique(np.stack([words.text_of[places], table_.set_of[which]], axis=1), axis=0).tolist():
+                found.setdefault(text, set()).update(table_.sets[members].tolist())
+        return np.cumsum(change[:-1]) > 0, found
+
+
+_indexes: dict[str, Index] = {}
+
+
+def _index_of(name: str, shared) -> Index:
+    """The worker's index of the broadcast items; it keeps one, for the tasks that follow."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(shared.value)
+    return _indexes[name]
 
 
 _FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -182,8 +205,8 @@ def _digest(ids: set[str]) -> str:
 
 
 def _item_blocks(items: DataFrame, most: int) -> tuple[int, Iterator[list[tuple[str | None, bytes]]]]:
-    """The items with text in blocks of about ``most`` bytes, each collected by itself, and how many blocks."""
-    chosen = items.select(F.col("item_id").cast("string").alias("item_id"), F.encode(F.col("text"), "utf-8").alias("text")).where("text IS NOT NULL")
+    """The distinct items with text in blocks of about ``most`` bytes, by a hash of both columns, each collected by itself, and how many blocks."""
+    chosen = settle(items.select(F.col("item_id").cast("string").alias("item_id"), F.encode(F.col("text"), "utf-8").alias("text")).where("text IS NOT NULL").distinct(), "items")
     total = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 if total <= most else int(2 * total // most) + 1
 
@@ -201,10 +224,10 @@ def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[str | None, bytes]]) -> DataFrame:
     """Final rows against items that one index holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = _index_of(name, shared)
         for part, texts in blocks(batches, "text"):
             words = Words(texts)
             hit, found = index.search(words)
@@ -218,10 +241,10 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[str | N
 
 def _scan_hits(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[str | None, bytes]]) -> DataFrame:
     """For documents with hits only: their key, the places of hit words and the items' ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = _index_of(name, shared)
         for part, texts in blocks(batches, "text"):
             words = Words(texts)
             hit, found = index.search(words)
@@ -273,10 +296,10 @@ def clean_only(docs: DataFrame, items: DataFrame, text_col: str = "text", index_
     _, parts = _item_blocks(items, index_bytes)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for part in parts:
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+        shared, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index_of(name, shared)
             for rows, texts in blocks(batches, text_col):
                 words = Words(texts)
                 hit, _ = index.search(words)
