@@ -21,8 +21,8 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most ``most`` bytes of text, or a single row, and their texts."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most ``most`` bytes of text and ``rows`` rows, or a single row, and their texts."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -30,7 +30,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
         sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if i > start and held + size > most:
+            if i > start and (held + size > most or i - start >= rows):
                 part = batch.slice(start, i - start)
                 yield part, texts_of(part.column(batch.schema.get_field_index(text)))
                 start, held = i, 0
@@ -49,3 +49,9 @@ def join_to_one(facts: DataFrame, dims: DataFrame, hot: DataFrame, key: str) ->
     """Left join to one row a key. The few hot keys, whose number is bounded, are joined by broadcast, so no task gets a hot key's rows."""
     hot_dims = F.broadcast(dims.join(F.broadcast(hot), key, "left_semi"))
     return facts.join(F.broadcast(hot), key, "left_semi").join(hot_dims, key, "left").unionByName(facts.join(F.broadcast(hot), key, "left_anti").join(dims, key, "left"))
+
+
+def looked_up(facts: DataFrame, key: str, dims: DataFrame, dim_key: str) -> DataFrame:
+    """``facts`` with what ``dims`` has for its ``key``, null where it has none; keys with many facts are spread."""
+    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return join_to_one(facts, dims.withColumnRenamed(dim_key, key), hot_keys(counts, key), key)

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.runtime import settle
+from stratum.llm.common import looked_up
+from stratum.runtime import discard, settle
 
 
 def _jumped(parents: DataFrame) -> DataFrame:
     """Each node's root in a forest (node, parent), in as many joins as the logarithm of its depth."""
+    held = None
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        step = settle(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
-        parents = step.select("node", "parent")
+        step = looked_up(parents, "parent", up, "parent").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+        step = settle(step)
+        discard(held)
+        held, parents = step, step.select("node", "parent")
         if step.where("moved").isEmpty():
-            return parents
+            return step
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,25 +27,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and self loops count for nothing; repeated edges count once; no edges give no rows.
     Work is on contracted edges, so each round holds fewer than the one before. Nothing is collected.
+    A node that very many edges or nodes lead to is looked up without gathering them in one task.
     """
     labels = None
-    rest = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
-    while True:
-        rest = settle(rest)
-        if rest.isEmpty():
-            if labels is None:
-                return rest.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            return labels.select("node", F.col("parent").alias("component"))
+    rest = settle(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct())
+    while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
         nodes = settle(least.select("node", F.least("node", "parent").alias("parent")))
         roots = _jumped(nodes.where("parent < node"))
-        step = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("parent", "node").alias("parent"))
-        if labels is None:
-            labels = settle(step)
-        else:
+        known = roots.select("node", "parent")
+        step = nodes.select("node").join(known, "node", "left").select("node", F.coalesce("parent", "node").alias("parent"))
+        if labels is not None:
             up = step.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            labels = settle(labels.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")))
-        a = roots.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
-        b = roots.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
-        rest = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+            step = looked_up(labels, "parent", up, "parent").select("node", F.coalesce("above", "parent").alias("parent"))
+        fresh = settle(step)
+        ends = looked_up(looked_up(rest, "a", known.toDF("n", "ra"), "n"), "b", known.toDF("n", "rb"), "n")
+        contracted = settle(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct())
+        discard(labels, rest, nodes, roots)
+        labels, rest = fresh, contracted
+    if labels is None:
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels.select("node", F.col("parent").alias("component"))

@@ -1,12 +1,16 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms of a text are its trigrams of character classes (``CLASSES`` of them), the repetition of its
-words and its size, so that they do not depend on a language's words. Document frequencies come from
-all documents. The labelled rows to learn from, at most ``MOST_LABELLED`` of each label, chosen by a
+Terms of a text are its words, by hash in ``WORDS`` buckets, its trigrams of character classes
+(``CLASSES`` of them), which do not depend on a language's words, the repetition of its words and its
+size. Document frequencies come from all documents. The labelled rows to learn from, at most ``MOST_LABELLED`` of each label, chosen by a
 hash of doc_id, give a truncated SVD of the weighted term matrix; their vectors, a bounded number, are
 broadcast. Every document is compared with every one of them by exact cosine, block by block, and the
 ``NEIGHBOURS`` most similar vote, weighted by similarity and by the share that their label has among
 all labelled rows against the share in the sample.
+
+Vectors are rounded to integers before each product, so that products are exact in double precision and
+a text's score depends neither on what it shares a block with nor on the order of sums. Of equally
+similar neighbours the earlier one in order of doc_id votes.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm.common import blocks
+from stratum.llm.winnow import Words
 from stratum.runtime import map_arrow
 from stratum.sources.tables import table
 
@@ -31,8 +36,12 @@ THRESHOLD = 0.3
 CLASSES = 16
 _TRIGRAMS = CLASSES**3
 _EXTRA = 64
-TERMS = _TRIGRAMS + _EXTRA
-_BLOCK = 512 << 10
+WORDS = 2048
+WORD_WEIGHT = 0.3
+TERMS = _TRIGRAMS + _EXTRA + WORDS
+#: Bytes and rows of a block; its terms are a dense matrix.
+_BLOCK, _ROWS = 512 << 10, 256
+_GRID, _FINE = 1 << 14, 1 << 20
 
 
 def _class_table() -> np.ndarray:
@@ -49,7 +58,7 @@ _CLASS = _class_table()
 
 
 def terms_of(texts: list[bytes]) -> np.ndarray:
-    """Term weights of each text: square roots of the shares of its trigrams, then one-hot buckets of repetition, variety and size."""
+    """Term weights of each text: square roots of the shares of its trigrams, one-hot buckets of repetition, variety and size, and square roots of the shares of its words."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     row = np.repeat(np.arange(len(texts)), sizes)
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -68,6 +77,10 @@ def terms_of(texts: list[bytes]) -> np.ndarray:
         for base, value in ((0, again), (16, len(set(words)) / max(n, 1)), (32, len(set(lines)) / len(lines))):
             out[i, _TRIGRAMS + base + min(15, int(value * 16))] = 0.3
         out[i, _TRIGRAMS + 48 + min(15, n.bit_length())] = 0.3
+    words = Words(texts)
+    bucket = (words.hashes >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64)
+    counts = np.bincount(words.text_of * WORDS + bucket, minlength=len(texts) * WORDS).reshape(len(texts), WORDS)
+    out[:, _TRIGRAMS + _EXTRA :] = WORD_WEIGHT * np.sqrt(counts / np.maximum(words.counts, 1)[:, None])
     return out
 
 
@@ -85,7 +98,7 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros(TERMS, np.int64), 0
-        for _, texts in blocks(batches, "text", _BLOCK):
+        for _, texts in blocks(batches, "text", _BLOCK, _ROWS):
             sums += (terms_of(texts) > 0).sum(axis=0)
             n += len(texts)
         if n:
@@ -112,7 +125,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray
     texts = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw in blocks(batches, "text", _BLOCK):
+        for part, raw in blocks(batches, "text", _BLOCK, _ROWS):
             found = terms_of(raw)
             at = [np.flatnonzero(x) for x in found]
             yield pa.RecordBatch.from_arrays(
@@ -120,7 +133,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray
                 ["doc_id", "y", "at", "w"],
             )
 
-    rows = map_arrow(texts, run, "doc_id long, y int, at array<int>, w array<float>").groupBy("at", "w", "y").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id").limit(4 * most).collect()
+    rows = map_arrow(texts, run, "doc_id long, y int, at array<int>, w array<float>").groupBy("at", "w", "y").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id", "y", "at", "w").limit(4 * most).collect()
     x, y = np.zeros((len(rows), TERMS), np.float32), np.zeros(len(rows), np.int64)
     for i, r in enumerate(rows):
         x[i, r["at"]] = r.w
@@ -150,19 +163,28 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, dimension
     projection = np.linalg.svd(q.T @ weighted, full_matrices=False)[2][:k].T.astype(np.float32)
     sample = np.array([(y == 0).mean(), (y == 1).mean()])
     vote = np.where(sample > 0, share / np.maximum(sample, 1e-9), 0).astype(np.float32)
-    return {"idf": idf, "projection": projection, "vectors": _unit(weighted @ projection), "y": y, "vote": vote[y], "prior": float(share[1])}
+    projection = np.rint(projection.astype(np.float64) * _GRID)
+    return {"idf": idf, "projection": projection, "vectors": _placed(x * idf, projection), "y": y, "vote": vote[y].astype(np.float64), "prior": float(share[1])}
+
+
+def _placed(weighted: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Latent vectors of unit length, on a grid of 1 / _FINE: whole numbers. The product's terms are whole numbers and its sums below 2**53, so it is exact."""
+    return np.rint(_unit(np.rint(_unit(weighted).astype(np.float64) * _GRID) @ projection) * _FINE)
 
 
 def score_block(model: dict, texts: list[bytes], neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Share of the weighted votes for label 1."""
     if model["vectors"] is None:
         return np.full(len(texts), model["prior"])
-    x = _unit(_unit(terms_of(texts) * model["idf"]) @ model["projection"])
-    similar = x @ model["vectors"].T
-    k = min(neighbours, similar.shape[1])
-    best = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(similar, best, axis=1), 1e-6).astype(np.float64) ** SHARPNESS * model["vote"][best]
-    return np.clip((weight * (model["y"][best] == 1)).sum(axis=1) / weight.sum(axis=1), 0, 1)
+    similar = (_placed(terms_of(texts) * model["idf"], model["projection"]) @ model["vectors"].T).astype(np.int64)
+    n = similar.shape[1]
+    # Similarity first, then the earlier vector: no two are equal.
+    ranked = similar * n + np.arange(n - 1, -1, -1)
+    k = min(neighbours, n)
+    best = np.sort(np.partition(ranked, n - k, axis=1)[:, n - k :], axis=1)
+    at = n - 1 - best % n
+    weight = np.maximum(best // n / _FINE**2, 1e-6) ** SHARPNESS * model["vote"][at]
+    return np.clip((weight * (model["y"][at] == 1)).sum(axis=1) / weight.sum(axis=1), 0, 1)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, threshold: float = THRESHOLD) -> DataFrame:
@@ -178,7 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fields = [f for f in docs.schema.fields] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches, text_col if keep else "text", _BLOCK):
+        for part, texts in blocks(batches, text_col if keep else "text", _BLOCK, _ROWS):
             found = score_block(model.value, texts)
             if keep:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array((found >= threshold).astype(np.int32))], [*part.schema.names, "__predicted"])

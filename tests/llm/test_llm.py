@@ -200,6 +200,30 @@ def test_preference_pairs(spark):
     assert chat.preference_pairs(spark.createDataFrame([], "pair_id long, is_rejected boolean, turn long, role string, text string")).count() == 0
 
 
+def test_swapped_answers_brute_force(spark):
+    long = "word " * 20_000
+    talks = {
+        0: [("system", "s"), ("user", "q"), ("assistant", "a"), ("user", "thanks")], 1: [("user", "q2"), ("assistant", long)], 2: [("user", "alone")], 3: [("user", "x"), ("assistant", None)],
+        4: [("user", "no neighbour"), ("assistant", "b")], 6: [("assistant", "same")], 7: [("assistant", "same")], -2: [(None, "é"), ("assistant", "")], -1: [("assistant", "c")],
+    }
+    rows = [(i, k, r, t, 9, "p", True) for i, talk in talks.items() for k, (r, t) in enumerate(talk)] + [(None, 0, "user", "x", 9, "p", True)]
+    schema = "conv_id long, turn long, role string, text string, pair_id long, prompt string, is_rejected boolean"
+    got = {r.pair_id: r for r in chat.swapped_answers(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == set(talks)
+    plain = {i: [(r or "unknown", t or "") for r, t in talk] for i, talk in talks.items()}
+    for i, talk in plain.items():
+        mine = [k for k, (r, _) in enumerate(talk) if r == "assistant"]
+        theirs = [x for x in plain.get(i ^ 1, []) if x[0] == "assistant"]
+        other = talk[: mine[-1]] if mine else talk
+        other = other + theirs[-1:]
+        n = 0
+        while n < min(len(talk), len(other)) and talk[n] == other[n]:
+            n += 1
+        assert got[i].prompt_turns == n and got[i].prompt == rendered(talk[:n])[0]
+        assert (got[i].chosen, got[i].chosen_mask) == rendered(talk[n:]) and (got[i].rejected, got[i].rejected_mask) == rendered(other[n:])
+    assert chat.swapped_answers(spark.createDataFrame([], schema)).count() == 0
+
+
 # 5
 
 
@@ -398,12 +422,29 @@ def test_quality_votes_brute_force(spark, documents):
     for t, got in zip(texts, quality.score_block(model, texts), strict=True):
         x = quality.terms_of([t])[0] * model["idf"]
         x = x / np.linalg.norm(x) @ model["projection"]
-        cos = model["vectors"] @ (x / np.linalg.norm(x))
+        cos = model["vectors"] / quality._FINE @ (x / np.linalg.norm(x))
         near = sorted(range(len(cos)), key=lambda k: -cos[k])[: quality.NEIGHBOURS]
         w = [max(float(cos[k]), 1e-6) ** quality.SHARPNESS * model["vote"][k] for k in near]
         assert abs(got - sum(v for v, k in zip(w, near, strict=True) if model["y"][k] == 1) / sum(w)) < 1e-3
 
 
+def test_quality_scores_do_not_depend_on_blocks(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    seen = [sorted((r.doc_id, r.score) for r in quality.score(documents.repartition(n, F.xxhash64("doc_id")), labels).collect()) for n in (1, 7)]
+    assert seen[0] == seen[1]
+    model = quality.fit(documents.select("doc_id", "text"), labels)
+    texts = [r.text.encode() for r in documents.limit(60).collect()]
+    assert quality.score_block(model, texts).tolist() == [quality.score_block(model, [t])[0] for t in texts]
+
+
+def test_quality_ties_go_to_the_earlier_vector(spark, documents):
+    model = quality.fit(documents.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"))
+    equal = np.repeat(model["vectors"][:1], 6, axis=0)
+    for y, want in (([1, 0, 0, 0, 1, 1], 1 / 3), ([0, 0, 0, 1, 1, 1], 0), ([1, 1, 1, 0, 0, 0], 1)):
+        held = model | {"vectors": equal, "y": np.array(y), "vote": np.ones(6)}
+        assert abs(quality.score_block(held, [b"one two three"], neighbours=3)[0] - want) < 1e-12
+
+
 # 8
 
 
