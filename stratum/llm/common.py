@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2 << 20
 #: A key with more than one row in so many is hot; at most that many keys can be.
 HOT_SHARE = 256
+HOT_LEAST = 256
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -52,6 +53,15 @@ def join_to_one(facts: DataFrame, dims: DataFrame, hot: DataFrame, key: str) ->
 
 
 def looked_up(facts: DataFrame, key: str, dims: DataFrame, dim_key: str) -> DataFrame:
-    """``facts`` with what ``dims`` has for its ``key``, null where it has none; keys with many facts are spread."""
-    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return join_to_one(facts, dims.withColumnRenamed(dim_key, key), hot_keys(counts, key), key)
+    """``facts``, a written table, with what ``dims`` has for its ``key``, null where it has none.
+
+    Keys of more than one in HOT_SHARE rows, and of HOT_LEAST at least, are fewer than HOT_SHARE. They are asked for
+    first, and their facts are joined by broadcast, so no task gets a hot key's rows. Mostly there are none.
+    """
+    counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = [r[key] for r in counts.where(F.col("n") > max(HOT_LEAST, facts.count() // HOT_SHARE)).select(key).limit(HOT_SHARE).collect()]
+    named = dims.withColumnRenamed(dim_key, key)
+    if not hot:
+        return facts.join(named, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return facts.where(is_hot).join(F.broadcast(named.where(is_hot)), key, "left").unionByName(facts.where(~is_hot).join(named.where(~is_hot), key, "left"))

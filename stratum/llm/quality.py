@@ -129,14 +129,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray
             found = terms_of(raw)
             at = [np.flatnonzero(x) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([x.tolist() for x in at], pa.list_(pa.int32())), pa.array([found[i][x].tolist() for i, x in enumerate(at)], pa.list_(pa.float32()))],
+                [part.column(0), part.column(1), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([found[i][x].astype("<f4").tobytes() for i, x in enumerate(at)], pa.binary())],
                 ["doc_id", "y", "at", "w"],
             )
 
-    rows = map_arrow(texts, run, "doc_id long, y int, at array<int>, w array<float>").groupBy("at", "w", "y").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id", "y", "at", "w").limit(4 * most).collect()
+    rows = map_arrow(texts, run, "doc_id long, y int, at binary, w binary").groupBy("at", "w", "y").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id", "y", "at", "w").limit(4 * most).collect()
     x, y = np.zeros((len(rows), TERMS), np.float32), np.zeros(len(rows), np.int64)
     for i, r in enumerate(rows):
-        x[i, r["at"]] = r.w
+        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r.w, "<f4")
         y[i] = r.y
     total = max(sum(shares.values()), 1)
     return x, y, np.array([shares.get(0, 0) / total, shares.get(1, 0) / total])
@@ -153,7 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, dimension
     x, y, share = _labelled(docs, labels, most)
     if not len(y):
         return {"idf": idf, "prior": 0.5, "vectors": None}
-    weighted = _unit(x * idf)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    weighted = x
     k = min(dimensions, *weighted.shape)
     rng = np.random.default_rng(7)
     basis = weighted @ rng.standard_normal((TERMS, k + 16), dtype=np.float32)
@@ -164,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, dimension
     sample = np.array([(y == 0).mean(), (y == 1).mean()])
     vote = np.where(sample > 0, share / np.maximum(sample, 1e-9), 0).astype(np.float32)
     projection = np.rint(projection.astype(np.float64) * _GRID)
-    return {"idf": idf, "projection": projection, "vectors": _placed(x * idf, projection), "y": y, "vote": vote[y].astype(np.float64), "prior": float(share[1])}
+    return {"idf": idf, "projection": projection, "vectors": np.concatenate([_placed(x[i : i + _ROWS], projection) for i in range(0, len(x), _ROWS)]), "y": y, "vote": vote[y].astype(np.float64), "prior": float(share[1])}
 
 
 def _placed(weighted: np.ndarray, projection: np.ndarray) -> np.ndarray:

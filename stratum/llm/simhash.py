@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stratum.llm.common import blocks, hot_keys, join_to_one
+from stratum.llm.common import blocks, looked_up
 from stratum.llm.components import components
 from stratum.runtime import discard, map_arrow, settle
 from stratum.sources.tables import table
@@ -131,10 +131,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int = MOST_BITS)
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(links(nodes.select("fp"), most)).withColumnsRenamed({"node": "fp", "component": "root"})
     joined = settle(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = settle(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    dims = settle(join_to_one(joined.select("fp", "root"), least.select("root", "component_id"), hot_keys(least, "root"), "root").select("fp", "root", "component_id"))
+    least = settle(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    dims = settle(looked_up(joined.select("fp", "root"), "root", least, "root").select("fp", "root", "component_id"))
     discard(joined, least)
-    return join_to_one(rows, dims, hot_keys(nodes, "fp"), "fp").select("doc_id", "fp", "root", "component_id")
+    return looked_up(rows, "fp", dims, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
