@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.runtime import discard, settle
+
 CLOSE_AT, MOST_TOKENS, SMALL = 500, 700, 150
 MMR_RELEVANCE, MMR_REDUNDANCY = 0.7, 0.3
 # Words that make a table row conditional.
@@ -140,22 +145,79 @@ def version_collapse(passages: DataFrame, family: list[str], version: str, ident
     return keyed.withColumns({"status": status, "winner": F.when(status == "alternate", top["id"])}).drop("__k")
 
 
-def mmr_select(candidates: DataFrame, k: int, query: str = "query_id", shingle_col: str = "shingles") -> DataFrame:
+def conflict_units(memberships: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, chunk_id, unit): conflict groups (query, group, chunk_id) that share a chunk become one unit, named by its smallest chunk.
+
+    Labels are spread over the groups until none changes; each round's table is written, so lineage stays short.
+    """
+    held = settle(memberships.select(query, "group", "chunk_id").distinct(), "conflict-groups")
+    labels = settle(held.groupBy(query, "chunk_id").agg(F.min("chunk_id").alias("unit")), "units")
+    while True:
+        by_group = held.join(labels, [query, "chunk_id"]).groupBy(query, "group").agg(F.min("unit").alias("least"))
+        fresh = held.join(by_group, [query, "group"]).groupBy(query, "chunk_id").agg(F.min("least").alias("unit"))
+        after = settle(fresh.join(labels.withColumnRenamed("unit", "was"), [query, "chunk_id"]), "units")
+        discard(labels)
+        labels = after
+        if after.where("unit <> was").isEmpty():
+            return after.select(query, "chunk_id", "unit")
+
+
+def pool_similarities(candidates: DataFrame, query: str = "query_id", shingle_col: str = "shingles") -> DataFrame:
+    """(query, a, b, similarity) by rank, a < b, where it is above 0: Jaccard of the shingle sets of candidates of one version and signature. A query's pool has at most 120 candidates."""
+    same = ["version", *(["signature"] if "signature" in candidates.columns else [])]
+    x, y = candidates.alias("x"), candidates.alias("y")
+    met = x.join(y, (F.col(f"x.{query}") == F.col(f"y.{query}")) & (F.col("x.rank") < F.col("y.rank")) & reduce(and_, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in same)))
+    shared = F.size(F.array_intersect(f"x.{shingle_col}", f"y.{shingle_col}"))
+    pairs = met.select(F.col(f"x.{query}").alias(query), F.col("x.rank").alias("a"), F.col("y.rank").alias("b"), shared.alias("shared"), (F.size(f"x.{shingle_col}") + F.size(f"y.{shingle_col}")).alias("total"))
+    return pairs.where("shared > 0").select(query, "a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("similarity"))
+
+
+def mmr_select(candidates: DataFrame, k: int, query: str = "query_id", shingle_col: str = "shingles", most_bytes: int | None = None) -> DataFrame:
     """(query, chunk_id, selected): greedy choice of the greatest 0.7 / (rank + 1) - 0.3 * greatest similarity to what is chosen; ties by rank.
 
-    candidates: (query, chunk_id, rank from 0, version, shingles). Similarity is Jaccard, 0 between versions. A query's candidates are a pool of at most 120 and are folded in one row.
+    candidates: (query, chunk_id, rank from 0, version, shingles: distinct), and where there are such columns ``signature``
+    (ordered protected facts: candidates with other ones are not similar), ``unit`` (candidates of one conflict unit are
+    taken together or not at all; null: alone) and ``bytes``. A unit that doesn't fit into k passages or ``most_bytes``
+    is left out and the next one is tried. Similarities are made once a pair, in Spark; each choice then raises every
+    candidate's running maximum. A query's pool has at most 120 candidates, and is one row.
     """
-    listed = candidates.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "version", F.col(shingle_col).alias("s")))).alias("c"))
-    similar = "if(not (x.version <=> y.version) or size(array_union(x.s, y.s)) = 0, 0D, size(array_intersect(x.s, y.s)) / size(array_union(x.s, y.s)))"
-    score = f"{MMR_RELEVANCE}D / (x.rank + 1) - {MMR_REDUNDANCY}D * coalesce(array_max(transform(chosen.out, y -> {similar})), 0D)"
-    item = "struct<rank:int,chunk_id:string,version:string,s:array<string>>"
-    # The best candidate's rank is bound to b once a step.
-    best = f"array_min(transform(chosen.rest, x -> struct(-round({score}, 12) as v, x.rank as r))).r"
-    step = f"transform(array({best}), b -> struct(filter(chosen.rest, x -> x.rank <> b) as rest, concat(chosen.out, filter(chosen.rest, x -> x.rank = b)) as out))[0]"
-    fold = f"""aggregate(sequence(1, {k}), struct(c as rest, cast(array() as array<{item}>) as out),
-        (chosen, i) -> if(size(chosen.rest) = 0, chosen, {step}), chosen -> chosen.out)"""
-    cast = listed.select(query, F.expr(f"cast(c as array<{item}>)").alias("c"))
-    return cast.select(query, F.posexplode(F.expr(fold)).alias("selected", "x")).select(query, F.col("x.chunk_id").alias("chunk_id"), F.col("selected").cast("long").alias("selected"))
+    given = {c: F.col(c) if c in candidates.columns else F.lit(None).cast(t) for c, t in (("unit", "string"), ("bytes", "long"))}
+    kind = candidates.schema[query].dataType.simpleString()
+    pools = candidates.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), given["unit"].cast("string").alias("unit"), F.coalesce(given["bytes"], F.lit(0)).cast("long").alias("bytes")))).alias("c"))
+    sims = pool_similarities(candidates, query, shingle_col).groupBy(query).agg(F.collect_list(F.struct("a", "b", "similarity")).alias("s"))
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for q, members, pairs in frame.itertuples(index=False, name=None):
+                place = {m["rank"]: i for i, m in enumerate(members)}
+                similar = np.zeros((len(members), len(members)))
+                for p in pairs if pairs is not None else ():
+                    i, j = place[p["a"]], place[p["b"]]
+                    similar[i, j] = similar[j, i] = p["similarity"]
+                units = {}
+                for i, m in enumerate(members):
+                    units.setdefault(("u", m["unit"]) if m["unit"] is not None else ("i", i), []).append(i)
+                unit_of = {i: u for u in units.values() for i in u}
+                relevance = np.array([MMR_RELEVANCE / (m["rank"] + 1) for m in members])
+                greatest, pending = np.zeros(len(members)), np.ones(len(members), bool)
+                taken, used = 0, 0
+                while pending.any() and taken < k:
+                    score = np.where(pending, np.round(relevance - MMR_REDUNDANCY * greatest, 12), -np.inf)
+                    unit = unit_of[int(np.argmax(score))]
+                    pending[unit] = False
+                    size = sum(members[i]["bytes"] for i in unit)
+                    if taken + len(unit) > k or (most_bytes is not None and used + size > most_bytes):
+                        continue
+                    out.extend((q, members[i]["chunk_id"], taken + n) for n, i in enumerate(unit))
+                    taken, used = taken + len(unit), used + size
+                    greatest = np.maximum(greatest, similar[unit].max(axis=0))
+            yield pd.DataFrame(out, columns=[query, "chunk_id", "selected"])
+
+    return pools.join(sims, query, "left").mapInPandas(run, f"`{query}` {kind}, chunk_id string, selected long")
 
 
 def reading_order(passages: DataFrame, query: str = "query_id") -> DataFrame:

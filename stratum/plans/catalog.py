@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stratum.functions import identifiers as I
 from stratum.functions import text as T
 from stratum.operators import dedup, evaluation, evidence, inventory, lexical, quality, retrieval
+from stratum.runtime import settle
 from stratum.sources import corpus
 from stratum.sources.tables import table
 from stratum.streaming import journal
@@ -391,14 +392,35 @@ def version_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.version_collapse(held, ["text"], "version", "doc_id").select("doc_id", "status")
 
 
-@query()
+_POOL = f"""{_terms('d', 'documents', 'doc_id')}, {_terms('q', 'benchmark', 'item_id')}, {_AVG},
+st AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM d_tf, av GROUP BY term),
+rs AS (SELECT query_id, d_tf.id AS id, round(sum(idf * {_WEIGHT}), 6) AS score FROM d_tf JOIN (SELECT id AS query_id, term AS q_term FROM q_tf) ON d_tf.term = q_term JOIN st ON d_tf.term = st.term, av GROUP BY query_id, d_tf.id),
+c AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM rs) WHERE rank < 30),
+w3 AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IN (SELECT id FROM c)),
+g3 AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) END) AS s FROM w3),
+ps AS (SELECT x.query_id, x.rank AS a, y.rank AS b, len(list_intersect(gx.s, gy.s)) AS n, len(gx.s) + len(gy.s) AS t FROM c x JOIN c y ON x.query_id = y.query_id AND x.rank <> y.rank JOIN g3 gx ON gx.id = x.id JOIN g3 gy ON gy.id = y.id),
+sims AS (SELECT query_id, a, b, n / (t - n) AS s FROM ps WHERE n > 0)"""
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pool = settle(lexical.bm25_topk(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 30), "pool")
+    wanted = docs.join(pool.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = dedup.shingles(wanted, "doc_id", "text", 3).groupBy("id").agg(F.collect_set(F.xxhash64("shingle")).alias("shingles"))
+    return pool.join(sets, "id", "left").select("query_id", F.col("id").cast("string").alias("chunk_id"), (F.col("rank") - 1).alias("rank"), F.lit(None).cast("string").alias("version"), F.coalesce("shingles", F.array().cast("array<long>")).alias("shingles"))
+
+
+@query(
+    f"""WITH RECURSIVE {_POOL},
+sel AS (SELECT DISTINCT query_id, 0 AS step, CAST([] AS BIGINT[]) AS chosen FROM c
+  UNION ALL SELECT query_id, step + 1, list_append(chosen, rank) FROM (
+    SELECT query_id, step, chosen, rank, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 / (rank + 1) - 0.3 * m, 12) DESC, rank) AS r FROM (
+      SELECT sel.query_id, sel.step, sel.chosen, c.rank, coalesce(max(sims.s), 0) AS m FROM sel JOIN c ON c.query_id = sel.query_id AND NOT list_contains(sel.chosen, c.rank)
+      LEFT JOIN sims ON sims.query_id = sel.query_id AND sims.a = c.rank AND list_contains(sel.chosen, sims.b) WHERE sel.step < 10 GROUP BY ALL)) WHERE r = 1)
+SELECT sel.query_id, CAST(c.id AS VARCHAR) AS chunk_id, sel.step - 1 AS selected FROM sel JOIN c ON c.query_id = sel.query_id AND c.rank = sel.chosen[sel.step] WHERE sel.step > 0"""
+)
 def mmr_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = lexical.bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 30)
-    grams = dedup.shingles(table(spark, sf_dir, "documents"), "doc_id", "text", 3)
-    wanted = pool.select("id").distinct()
-    sets = grams.join(wanted, "id", "left_semi").groupBy("id").agg(F.collect_list("shingle").alias("shingles"))
-    held = pool.join(sets, "id", "left").select("query_id", F.col("id").cast("string").alias("chunk_id"), (F.col("rank") - 1).alias("rank"), F.lit(None).cast("string").alias("version"), F.coalesce("shingles", F.array().cast("array<string>")).alias("shingles"))
-    return evidence.mmr_select(held, 10)
+    return evidence.mmr_select(_pool(spark, sf_dir), 10)
 
 
 # Scopes and inventories.
