@@ -41,8 +41,7 @@ def minhash_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
         import numpy as np
         import pyarrow as pa
 
-        prime, basis = 0x100000001B3, 0xCBF29CE484222325
-        mask = (1 << 64) - 1
+        prime, basis = np.uint64(0x100000001B3), np.uint64(0xCBF29CE484222325)
 
         def mix(x: np.ndarray) -> np.ndarray:
             x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -51,8 +50,6 @@ def minhash_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
             return x ^ (x >> np.uint64(31))
 
         seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-        powers = [pow(prime, k, 1 << 64) for k in range(64)]
-        assert powers
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -60,15 +57,21 @@ def minhash_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
                 if not words:
                     out.append(None)
                     continue
-                grams = [words[i : i + SHINGLE] for i in range(max(1, len(words) - SHINGLE + 1))]
-                hashes = set()
-                for gram in grams:
-                    h = basis
-                    for byte in b"\xff".join(gram) + b"\xff":
-                        h = (h ^ byte) * prime & mask
-                    hashes.add(h)
-                base = np.fromiter(hashes, np.uint64, len(hashes))
-                best = np.full(len(seeds), mask, np.uint64)
+                # Words with their end marks lie one after the other, so a shingle is a slice; all shingles take one byte a step.
+                flat = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8).astype(np.uint64)
+                stops = np.cumsum([len(w) + 1 for w in words])
+                starts = np.concatenate([[0], stops[:-1]])
+                n = max(1, len(words) - SHINGLE + 1)
+                starts, stops = starts[:n], stops[min(SHINGLE, len(words)) - 1 :][:n]
+                base = np.full(n, basis)
+                live = np.arange(n)
+                at = starts.copy()
+                while len(live):
+                    base[live] = (base[live] ^ flat[at[live]]) * prime
+                    at[live] += 1
+                    live = live[at[live] < stops[live]]
+                base = np.unique(base)
+                best = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
                 for start in range(0, len(base), 4096):
                     best = np.minimum(best, mix(base[start : start + 4096, None] ^ seeds).min(axis=0))
                 out.append(best.view(np.int64).tolist())

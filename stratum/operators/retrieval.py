@@ -70,8 +70,11 @@ def _dense_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def tie_ranked(hits: DataFrame, limit: int = ROUTE_LIMIT) -> DataFrame:
     """(query_id, chunk_id, rank): by score, but hits within TIE * max(1, |leader|) below a group's leader count as equal and go by id; first of each chunk; limit.
 
-    A group hangs on its leader, not on the hit before, so the group is a fold over the query's sorted hits.
+    Twice ``limit`` hits of a query take part, the best by score, then id. A group hangs on its leader, not on the hit
+    before, so the group is a fold over the query's sorted hits, whose number that bounds.
     """
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    hits = hits.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= 2 * limit).drop("__r")
     listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "chunk_id"))).alias("hits"))
     fold = f"""aggregate(hits, struct(cast(null as double) as leader, -1 as grp, cast(array() as array<struct<grp:int, chunk_id:string>>) as out),
         (s, x) -> if(s.leader is not null and s.leader + x.order <= {TIE!r}D * greatest(1D, abs(s.leader)),

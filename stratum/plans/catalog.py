@@ -274,12 +274,23 @@ def soft_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.soft_demotion(held, retrieval.source_prior("source_class"), "reranked").select("query_id", "chunk_id", "demoted")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_RERANK}, cap AS (SELECT query_id, -1 AS f, list(position ORDER BY reranked) AS l FROM o GROUP BY query_id
+  UNION ALL SELECT query_id, f + 1, CASE WHEN list_contains(l, f + 1) THEN list_concat(list_concat(rest[1:t], [f + 1]), rest[t + 1:]) ELSE l END FROM (
+    SELECT query_id, f, l, list_filter(l, lambda x: x <> f + 1) AS rest, least(f + 1 + 3, coalesce(list_position(l, f + 1), 1) - 1) AS t FROM cap WHERE f < 9))
+SELECT x.query_id, o.chunk_id, x.capped FROM (SELECT query_id, unnest(l) AS position, generate_subscripts(l, 1) - 1 AS capped FROM cap WHERE f = 9) x JOIN o ON o.query_id = x.query_id AND o.position = x.position"""
+)
 def demotion_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.cap_demotion(_reranked(spark, sf_dir), 3, "reranked")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_DENSE}, h AS (SELECT query_id, id, score, rank AS n FROM dr WHERE rank <= 200),
+g AS (SELECT query_id, n, id, score AS leader, 0 AS grp FROM h WHERE n = 1
+  UNION ALL SELECT h.query_id, h.n, h.id, CASE WHEN g.leader - h.score <= 1e-5 * greatest(1, abs(g.leader)) THEN g.leader ELSE h.score END, CASE WHEN g.leader - h.score <= 1e-5 * greatest(1, abs(g.leader)) THEN g.grp ELSE g.grp + 1 END
+  FROM g JOIN h ON h.query_id = g.query_id AND h.n = g.n + 1)
+SELECT * FROM (SELECT query_id, CAST(id AS VARCHAR) AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY grp, CAST(id AS VARCHAR)) AS rank FROM g) WHERE rank <= 100"""
+)
 def tie_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.tie_ranked(_dense(spark, sf_dir, 200).withColumnRenamed("id", "chunk_id"))
 
@@ -499,10 +510,29 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.mean_metrics(evaluation.question_metrics(_ranks(spark, sf_dir)))
 
 
-@query()
+# SplitMix64 in 128-bit integers: the state after d draws is seed + d * gamma.
+_MIX = "CAST(CAST({x} AS UHUGEINT) * CAST('{m}' AS UHUGEINT) % CAST('18446744073709551616' AS UHUGEINT) AS UBIGINT)"
+_DRAWS = f"""z0 AS (SELECT r, pos, n, size, stratum, CAST((CAST('20260927' AS UHUGEINT) + CAST(r * total + pos + 1 AS UHUGEINT) * CAST('{0x9E3779B97F4A7C15}' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT) AS UBIGINT) AS z FROM slots, range(2000) AS t(r)),
+z1 AS (SELECT * REPLACE ({_MIX.format(x='xor(z, z >> 30)', m=0xBF58476D1CE4E5B9)} AS z) FROM z0),
+z2 AS (SELECT * REPLACE ({_MIX.format(x='xor(z, z >> 27)', m=0x94D049BB133111EB)} AS z) FROM z1),
+draws AS (SELECT r, stratum, CAST((CAST(xor(z, z >> 31) AS UHUGEINT) * CAST(size AS UHUGEINT)) >> 64 AS BIGINT) AS at FROM z2)"""
+
+
+def _bootstrap_sql(values: str) -> str:
+    """Of rows (stratum, key, v) of ``values``: mean and interval."""
+    return f"""slots AS (SELECT stratum, v, row_number() OVER (ORDER BY stratum, key) - 1 AS pos, row_number() OVER (PARTITION BY stratum ORDER BY key) - 1 AS n, count(*) OVER (PARTITION BY stratum) AS size, count(*) OVER () AS total FROM {values}),
+{_DRAWS}, means AS (SELECT r, avg(v) AS mean FROM draws JOIN slots ON slots.stratum = draws.stratum AND slots.n = draws.at GROUP BY r)
+SELECT (SELECT round(avg(v), 9) FROM slots) AS mean, round(quantile_disc(mean, 0.025), 9) AS low, round(quantile_disc(mean, 0.975), 9) AS high FROM means"""
+
+
+def _rounded(interval: DataFrame) -> DataFrame:
+    return interval.select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
+@query(f"{_QUESTIONS}, vs AS (SELECT question_id % 2 AS stratum, question_id AS key, CAST(ndcg AS DOUBLE) AS v FROM m), {_bootstrap_sql('vs')}")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = evaluation.question_metrics(_ranks(spark, sf_dir)).withColumn("stratum", F.col("question_id") % 2)
-    return evaluation.bootstrap_interval(questions, "ndcg_10", "stratum", "question_id", 20260927)
+    return _rounded(evaluation.bootstrap_interval(questions, "ndcg_10", "stratum", "question_id", 20260927))
 
 
 @query("SELECT event_type AS cohort, count(*) AS attempts, count(*) FILTER (WHERE event_id % 10 = 0) AS warm_ups, count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 6 <> 0) AS ok, count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 6 = 0) AS failed, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, round(count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 6 <> 0) * 1e6 / sum(v), 6) AS per_second FROM (SELECT *, CASE WHEN event_id % 10 <> 0 AND event_id % 6 <> 0 THEN event_id * 7919 % 100003 + 1 END AS v FROM events) GROUP BY event_type")
@@ -536,7 +566,17 @@ def cursor_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.cursor_lag(held, journal.acknowledge(cursors, acks, held, "user_id"), "user_id")
 
 
-@query()
+_STATES = "['running', 'succeeded', 'failed', 'queued', 'cancelled'][event_id % 5 + 1]"
+_STEPS = ", ".join(f"'{a}>{b}'" for a, b in sorted(journal.JOB_STEPS))
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, {_STATES} AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT user_id, 0 AS n, 'queued' AS state, 0 AS version, 0 AS refused FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN f.state || '>' || e.s IN ({_STEPS}) THEN e.s ELSE f.state END, f.version + CASE WHEN f.state || '>' || e.s IN ({_STEPS}) THEN 1 ELSE 0 END, f.refused + CASE WHEN f.state || '>' || e.s IN ({_STEPS}) THEN 0 ELSE 1 END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, arg_max(state, n) AS state, max(version) AS version, max(refused) AS refused FROM f GROUP BY user_id"""
+)
 def event_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = F.element_at(F.array(*map(F.lit, ("running", "succeeded", "failed", "queued", "cancelled"))), (F.col("event_id") % 5 + 1).cast("int"))
     return journal.fold_states(table(spark, sf_dir, "events").withColumn("state", states), "user_id", "event_id", "state", "queued", journal.JOB_STEPS)

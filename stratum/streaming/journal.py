@@ -43,13 +43,24 @@ def cursor_lag(journal: DataFrame, cursors: DataFrame, stream: str) -> DataFrame
     return cursors.join(ends, stream, "left").select("consumer", stream, (F.coalesce("last", F.lit(0)) - F.col("position")).alias("lag"))
 
 
-def fold_states(events: DataFrame, key: str, order: str, state: str, first: str, steps: set[tuple[str, str]]) -> DataFrame:
-    """(key, state, version, refused): state after applying each event in order where the step is allowed."""
+def fold_states(events: DataFrame, key: str, order: str, state: str, first: str, steps: set[tuple[str, str]], block: int = 4096) -> DataFrame:
+    """(key, state, version, refused): state after applying each event in order where the step is allowed.
+
+    A key's events are folded in blocks of ``block``, each from every state it may start in, and then the blocks'
+    results in order, so no row holds a long history.
+    """
     allowed = ", ".join(f"'{a}>{b}'" for a, b in sorted(steps))
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(state).alias("state")))).alias("e"))
-    fold = f"""aggregate(e, struct('{first}' as state, 0L as version, 0L as refused), (s, x) ->
+    states = ", ".join(f"'{x}'" for x in sorted({x for step in steps for x in step} | {first}))
+    kind = "struct<state:string,version:bigint,refused:bigint>"
+    numbered = events.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order, state)))
+    listed = numbered.groupBy(key, F.floor((F.col("__n") - 1) / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(state).alias("state")))).alias("e"))
+    fold = f"""aggregate(e, cast(struct(start as state, 0L as version, 0L as refused) as {kind}), (s, x) ->
         if(concat(s.state, '>', x.state) IN ({allowed}), struct(x.state as state, s.version + 1 as version, s.refused as refused), struct(s.state as state, s.version as version, s.refused + 1 as refused)))"""
-    return listed.select(key, F.expr(fold).alias("s")).select(key, "s.state", "s.version", "s.refused")
+    blocks = listed.select(key, "block", F.expr(f"transform(array({states}), start -> struct(start, {fold} as end))").alias("ends"))
+    whole = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "ends"))).alias("b"))
+    join = f"""aggregate(b, cast(struct('{first}' as state, 0L as version, 0L as refused) as {kind}), (s, x) -> transform(filter(x.ends, y -> y.start = s.state),
+        y -> struct(y.end.state as state, s.version + y.end.version as version, s.refused + y.end.refused as refused))[0])"""
+    return whole.select(key, F.expr(join).alias("s")).select(key, "s.state", "s.version", "s.refused")
 
 
 def envelopes(journal: DataFrame, stream: str, kind: str, data: str) -> DataFrame:
