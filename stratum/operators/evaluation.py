@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.runtime import map_arrow
@@ -87,24 +87,24 @@ def paired(first: DataFrame, second: DataFrame, metric: str) -> DataFrame:
     return joined.select("question_id", (F.col("b") - F.col("a")).alias("difference"))
 
 
-def bootstrap_interval(values: DataFrame, value: str, stratum: str, order: str, seed: int, resamples: int = RESAMPLES, most: int = 1_000_000) -> DataFrame:
-    """(mean, low, high) of a stratified bootstrap: the mean, and the 2.5 and 97.5 nearest-rank percentiles of the resamples' means.
+def _resamples(values: DataFrame, columns: list[str], stratum: str, order: str, seed: int, resamples: int, most: int) -> tuple[list[list], DataFrame]:
+    """The items by stratum, and (resample, totals) of each resample: the columns' sums over what it draws.
 
     Draws are those of one SplitMix64 sequence: the state grows by a constant a draw, so a resample may
-    start where it would be reached and resamples are independent tasks. The values of a suite are
+    start where it would be reached and resamples are independent tasks. The items of a suite are
     collected and broadcast; over ``most`` are refused.
     """
     spark: SparkSession = values.sparkSession
-    rows = values.select(stratum, order, F.col(value).cast("double").alias("v")).orderBy(stratum, order).limit(most + 1).collect()
+    rows = values.select(stratum, order, *(F.col(c).cast("double").alias(f"__{c}") for c in columns)).orderBy(stratum, order).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} values")
-    strata: list[list[float]] = []
+    strata: list[list] = []
     last = object()
     for r in rows:
         if r[stratum] != last:
             strata.append([])
             last = r[stratum]
-        strata[-1].append(r.v)
+        strata[-1].append([r[f"__{c}"] for c in columns])
     n = len(rows)
 
     def run(batches):
@@ -120,22 +120,105 @@ def bootstrap_interval(values: DataFrame, value: str, stratum: str, order: str,
                 z = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 z ^= z >> np.uint64(31)
-                total, at = 0.0, 0
+                total, at = np.zeros(len(columns)), 0
                 for a in arrays:
                     # High word of draw * size, in two halves of 32 bits.
                     d, m = z[at : at + len(a)], np.uint64(len(a))
                     low = (d & np.uint64(0xFFFFFFFF)) * m
                     high = (d >> np.uint64(32)) * m + (low >> np.uint64(32))
-                    total += a[(high >> np.uint64(32)).astype(np.int64)].sum()
+                    total += a[(high >> np.uint64(32)).astype(np.int64)].sum(axis=0)
                     at += len(a)
-                out.append(total / n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["resample", "mean"])
-
-    if not n:
-        return spark.createDataFrame([], "mean double, low double, high double")
-    means = map_arrow(spark.range(resamples).withColumnRenamed("id", "resample"), run, "resample long, mean double")
-    edges = means.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY mean)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY mean)").alias("high"))
-    return edges.select(F.lit(sum(r.v for r in rows) / n).alias("mean"), "low", "high")
+                out.append(total.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["resample", "totals"])
+
+    return strata, map_arrow(spark.range(resamples if n else 0).withColumnRenamed("id", "resample"), run, "resample long, totals array<double>")
+
+
+def _interval(values: DataFrame, columns: list[str], statistic: Column, name: str, stratum: str, order: str, seed: int, resamples: int, most: int) -> DataFrame:
+    """(name, low, high): the statistic of all items' totals, and its 2.5 and 97.5 nearest-rank percentiles over the resamples that have one. No items, no row."""
+    strata, drawn = _resamples(values, columns, stratum, order, seed, resamples, most)
+    if not strata:
+        return values.sparkSession.createDataFrame([], f"{name} double, low double, high double")
+    observed = values.sparkSession.createDataFrame([([sum(r[k] for s in strata for r in s) for k in range(len(columns))],)], "totals array<double>").select(statistic.alias(name))
+    edges = drawn.select(statistic.alias("__s")).agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __s)").alias(c) for p, c in ((0.025, "low"), (0.975, "high"))))
+    return observed.crossJoin(edges)
+
+
+def bootstrap_interval(values: DataFrame, value: str, stratum: str, order: str, seed: int, resamples: int = RESAMPLES, most: int = 1_000_000) -> DataFrame:
+    """(mean, low, high) of a stratified bootstrap: the mean, and the 2.5 and 97.5 nearest-rank percentiles of the resamples' means."""
+    mean = F.try_divide(F.col("totals")[1], F.col("totals")[0])
+    return _interval(values.withColumn("__n", F.lit(1)), ["__n", value], mean, "mean", stratum, order, seed, resamples, most)
+
+
+def clusters(attempts: DataFrame, value: str, covered: Column, key: str = "question_id") -> DataFrame:
+    """(key, stratum, n, total): each question's attempts together; warm-ups count for nothing, and a question of warm-ups only is left out. stratum 0: answerable."""
+    counted = covered & ~F.col("warm_up")
+    each = attempts.groupBy(key).agg(F.min(F.when(F.col("answerable"), 0).otherwise(1)).alias("stratum"), F.count_if(counted).alias("n"), F.coalesce(F.sum(F.when(counted, F.col(value).cast("double"))), F.lit(0.0)).alias("total"), F.count_if(~F.col("warm_up")).alias("__any"))
+    return each.where(F.col("__any") > 0).drop("__any")
+
+
+def cluster_bootstrap(attempts: DataFrame, value: str, covered: Column, seed: int, key: str = "question_id", resamples: int = RESAMPLES, most: int = 1_000_000) -> DataFrame:
+    """(mean, low, high) over attempts, where a resample draws questions and keeps each one's attempts together. covered: the attempts that the metric is about."""
+    mean = F.try_divide(F.col("totals")[1], F.col("totals")[0])
+    return _interval(clusters(attempts, value, covered, key), ["n", "total"], mean, "mean", "stratum", key, seed, resamples, most)
+
+
+def paired_bootstrap(baseline: DataFrame, candidate: DataFrame, value: str, covered: Column, seed: int, key: str = "question_id", resamples: int = RESAMPLES, most: int = 1_000_000) -> DataFrame:
+    """(difference, low, high): the candidate's mean less the baseline's, both of the same resampled questions. A question that only one run has, or that they disagree on being answerable, is an error."""
+    a = clusters(baseline, value, covered, key).toDF(key, "stratum", "n_a", "total_a")
+    b = clusters(candidate, value, covered, key).toDF(key, "stratum_b", "n_b", "total_b")
+    both = a.join(b, key, "full")
+    if not both.where("stratum IS NULL OR stratum_b IS NULL OR stratum <> stratum_b").isEmpty():
+        raise ValueError("the runs' questions differ")
+    t = F.col("totals")
+    return _interval(both, ["n_a", "total_a", "n_b", "total_b"], F.try_divide(t[3], t[2]) - F.try_divide(t[1], t[0]), "difference", "stratum", key, seed, resamples, most)
+
+
+def answer_metrics(results: DataFrame) -> DataFrame:
+    """(questions, recall_5, recall_10, mrr_10, ndcg_10, no_answer_accuracy, false_abstentions) of results that aren't warm-ups: ranking and false abstentions over answerable ones, no-answer accuracy over the others; null over none."""
+    held = results.where(~F.col("warm_up"))
+    over = lambda c, which: F.round(F.avg(F.when(which, F.col(c).cast("double"))), 6)
+    yes, gone = F.col("answerable"), F.when(F.col("abstained"), 1.0).otherwise(0.0)
+    return held.withColumn("__gone", gone).agg(
+        F.count(F.lit(1)).alias("questions"), *(over(m, yes).alias(m) for m in ("recall_5", "recall_10", "mrr_10", "ndcg_10")), over("__gone", ~yes).alias("no_answer_accuracy"), over("__gone", yes).alias("false_abstentions")
+    )
+
+
+def time_floor(attempts: DataFrame, limit_us: int, share: float = 0.95, by: list[str] | None = None) -> DataFrame:
+    """(attempts, timeouts, p, met): the nearest-rank percentile of ``latency_us`` where a null (a timeout or missing row) ranks above every time; p is null where it falls on one."""
+    ranked = attempts.withColumn("__t", F.coalesce(F.col("latency_us").cast("double"), F.lit(float("inf"))))
+    out = ranked.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("latency_us").isNull()).alias("timeouts"), F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY __t)").alias("p"))
+    return out.withColumn("p", F.when(F.col("p") < float("inf"), F.col("p").cast("long"))).withColumn("met", F.coalesce(F.col("p") <= limit_us, F.lit(False)))
+
+
+def delivery_score(questions: DataFrame, expected: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(answerable, uncredited, delivered, fully_delivered, median_permille, composition_cases, compositions_delivered), one row.
+
+    questions (question_id, answerable, credited); expected (question_id, revision_id, section_id, start, end, component) and
+    anchors (question_id, revision_id, section_id, start, end). An anchor delivers a section of its revision if the section is
+    whole (null id), has the same id, or their spans overlap. A question's coverage is its best section's share, in permille, that
+    the union of its anchors covers; a section without a span is covered whole when delivered. Nothing of an uncredited question
+    counts, and its coverage is 0. A composition is delivered when each of two or more named components is.
+    """
+    from stratum.operators.evidence import coverage
+
+    asked = expected.join(questions.where("answerable AND credited").select("question_id"), "question_id", "left_semi")
+    keyed = asked.withColumns({"__key": F.concat_ws("/", "question_id", "revision_id"), "__id": F.expr("row_number() over (partition by question_id, revision_id order by start, end, section_id, component)")})
+    seen = anchors.withColumn("__key", F.concat_ws("/", "question_id", "revision_id"))
+    x, y = keyed.alias("x"), seen.alias("y")
+    touch = F.col("x.section_id").isNull() | (F.col("x.section_id") == F.col("y.section_id")) | (F.greatest("x.start", "y.start") < F.least("x.end", "y.end"))
+    hit = x.join(y, (F.col("x.__key") == F.col("y.__key")) & F.coalesce(touch, F.lit(False)), "left_semi").select("__key", "__id", F.lit(True).alias("hit"))
+    spanned = keyed.where("start < end").select("__key", F.col("__id").alias("id"), "start", "end")
+    share = coverage(spanned, seen.where("start < end").select("__key", "start", "end"), "__key").select("__key", F.col("id").alias("__id"), "permille")
+    each = keyed.join(hit, ["__key", "__id"], "left").join(share, ["__key", "__id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    each = each.withColumn("permille", F.coalesce("permille", F.when(F.col("hit"), 1000).otherwise(0)))
+    parts = each.where("component IS NOT NULL").groupBy("question_id", "component").agg(F.max("hit").alias("hit")).groupBy("question_id").agg(F.count(F.lit(1)).alias("parts"), F.min("hit").alias("whole"))
+    scored = each.groupBy("question_id").agg(F.max("hit").alias("hit"), F.max("permille").alias("permille")).join(parts, "question_id", "left")
+    rows = questions.where("answerable").select("question_id", "credited").join(scored, "question_id", "left")
+    return rows.agg(
+        F.count(F.lit(1)).alias("answerable"), F.count_if(~F.col("credited")).alias("uncredited"), F.count_if("hit").alias("delivered"), F.count_if(F.col("permille") == 1000).alias("fully_delivered"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY coalesce(permille, 0))").cast("long").alias("median_permille"), F.count_if(F.col("parts") > 1).alias("composition_cases"), F.count_if((F.col("parts") > 1) & F.col("whole")).alias("compositions_delivered"),
+    )
 
 
 def subgroups(questions: DataFrame) -> DataFrame:

@@ -6,37 +6,22 @@ for dense vectors, ``events`` for the journal and ``pages`` for captured pages.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions import identifiers as I
 from stratum.functions import text as T
 from stratum.operators import dedup, evaluation, evidence, inventory, lexical, quality, retrieval
+from stratum.plans.registry import ORACLE_SQL, QUERIES, query
 from stratum.runtime import settle
 from stratum.sources import corpus
 from stratum.sources.tables import table
 from stratum.streaming import journal
 
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 D = T.DUCK
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a function of (spark, sf_dir) under its name, with its DuckDB SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Lexical analysis and BM25.
 
 _TERMS = """
@@ -518,21 +503,21 @@ z2 AS (SELECT * REPLACE ({_MIX.format(x='xor(z, z >> 27)', m=0x94D049BB133111EB)
 draws AS (SELECT r, stratum, CAST((CAST(xor(z, z >> 31) AS UHUGEINT) * CAST(size AS UHUGEINT)) >> 64 AS BIGINT) AS at FROM z2)"""
 
 
-def _bootstrap_sql(values: str) -> str:
-    """Of rows (stratum, key, v) of ``values``: mean and interval."""
-    return f"""slots AS (SELECT stratum, v, row_number() OVER (ORDER BY stratum, key) - 1 AS pos, row_number() OVER (PARTITION BY stratum ORDER BY key) - 1 AS n, count(*) OVER (PARTITION BY stratum) AS size, count(*) OVER () AS total FROM {values}),
-{_DRAWS}, means AS (SELECT r, avg(v) AS mean FROM draws JOIN slots ON slots.stratum = draws.stratum AND slots.n = draws.at GROUP BY r)
-SELECT (SELECT round(avg(v), 9) FROM slots) AS mean, round(quantile_disc(mean, 0.025), 9) AS low, round(quantile_disc(mean, 0.975), 9) AS high FROM means"""
+def bootstrap_sql(values: str, columns: str = "v", statistic: str = "avg(v)", name: str = "mean") -> str:
+    """Of rows (stratum, key, columns) of ``values``: the statistic and its interval."""
+    return f"""slots AS (SELECT stratum, {columns}, row_number() OVER (ORDER BY stratum, key) - 1 AS pos, row_number() OVER (PARTITION BY stratum ORDER BY key) - 1 AS n, count(*) OVER (PARTITION BY stratum) AS size, count(*) OVER () AS total FROM {values}),
+{_DRAWS}, means AS (SELECT r, {statistic} AS mean FROM draws JOIN slots ON slots.stratum = draws.stratum AND slots.n = draws.at GROUP BY r)
+SELECT (SELECT round({statistic}, 9) FROM slots) AS {name}, round(quantile_disc(mean, 0.025), 9) AS low, round(quantile_disc(mean, 0.975), 9) AS high FROM means"""
 
 
-def _rounded(interval: DataFrame) -> DataFrame:
-    return interval.select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+def rounded(interval: DataFrame) -> DataFrame:
+    return interval.select(*(F.round(c, 9).alias(c) for c in interval.columns))
 
 
-@query(f"{_QUESTIONS}, vs AS (SELECT question_id % 2 AS stratum, question_id AS key, CAST(ndcg AS DOUBLE) AS v FROM m), {_bootstrap_sql('vs')}")
+@query(f"{_QUESTIONS}, vs AS (SELECT question_id % 2 AS stratum, question_id AS key, CAST(ndcg AS DOUBLE) AS v FROM m), {bootstrap_sql('vs')}")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = evaluation.question_metrics(_ranks(spark, sf_dir)).withColumn("stratum", F.col("question_id") % 2)
-    return _rounded(evaluation.bootstrap_interval(questions, "ndcg_10", "stratum", "question_id", 20260927))
+    return rounded(evaluation.bootstrap_interval(questions, "ndcg_10", "stratum", "question_id", 20260927))
 
 
 @query("SELECT event_type AS cohort, count(*) AS attempts, count(*) FILTER (WHERE event_id % 10 = 0) AS warm_ups, count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 6 <> 0) AS ok, count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 6 = 0) AS failed, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, round(count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 6 <> 0) * 1e6 / sum(v), 6) AS per_second FROM (SELECT *, CASE WHEN event_id % 10 <> 0 AND event_id % 6 <> 0 THEN event_id * 7919 % 100003 + 1 END AS v FROM events) GROUP BY event_type")
@@ -615,3 +600,9 @@ def revision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("revision_id"), F.sha2("text", 256).alias("content_hash"))
     held = incoming.where("revision_id % 3 <> 0").withColumn("content_hash", F.when(F.col("revision_id") % 3 == 1, F.col("content_hash")).otherwise("other"))
     return corpus.revision_changes(held, incoming).select("revision_id", "change")
+
+
+# The other modules of queries register theirs as they are imported.
+from stratum.plans import evaluation_queries, store_queries  # noqa: E402
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "evaluation_queries", "store_queries"]
