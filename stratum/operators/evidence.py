@@ -130,9 +130,10 @@ def table_facts(rows: DataFrame, table: str, cells: list[str]) -> DataFrame:
 
 
 def version_key(version: str) -> str:
-    """SQL: a dotted version's numbers as an array that orders as they do; missing ones are 0; null if it isn't one."""
-    digits = f"regexp_extract({version}, r'^[vV]?([0-9]+(?:\\.[0-9]+)*)$', 1)"
-    return f"if({digits} = '' or {digits} is null, null, transform(sequence(0, 7), i -> cast(coalesce(get(split({digits}, r'\\.'), i), '0') as decimal(38, 0))))"
+    """SQL: a dotted version's numbers, of any size and number, as an array that orders as they do; missing ones are 0; null if it isn't one."""
+    digits = f"regexp_replace(regexp_extract({version}, r'^[vV]?([0-9]+(?:\\.[0-9]+)*)$', 1), r'(\\.0+)+$', '')"
+    part = "regexp_replace(x, '^0+', '')"
+    return f"if({digits} = '' or {digits} is null, null, transform(split({digits}, r'\\.'), x -> struct(length({part}) as n, {part} as d)))"
 
 
 def version_collapse(passages: DataFrame, family: list[str], version: str, identity: str) -> DataFrame:
@@ -151,14 +152,16 @@ def conflict_units(memberships: DataFrame, query: str = "query_id") -> DataFrame
     Labels are spread over the groups until none changes; each round's table is written, so lineage stays short.
     """
     held = settle(memberships.select(query, "group", "chunk_id").distinct(), "conflict-groups")
-    labels = settle(held.groupBy(query, "chunk_id").agg(F.min("chunk_id").alias("unit")), "units")
+    written = settle(held.groupBy(query, "chunk_id").agg(F.min("chunk_id").alias("unit")), "units")
     while True:
+        labels = written.select(query, "chunk_id", "unit")
         by_group = held.join(labels, [query, "chunk_id"]).groupBy(query, "group").agg(F.min("unit").alias("least"))
         fresh = held.join(by_group, [query, "group"]).groupBy(query, "chunk_id").agg(F.min("least").alias("unit"))
         after = settle(fresh.join(labels.withColumnRenamed("unit", "was"), [query, "chunk_id"]), "units")
-        discard(labels)
-        labels = after
+        discard(written)
+        written = after
         if after.where("unit <> was").isEmpty():
+            discard(held)
             return after.select(query, "chunk_id", "unit")
 
 
