@@ -179,3 +179,20 @@ def has_phrase(x: str, phrase: str, d: Dialect = SPARK) -> str:
     """Whether a phrase is in ``x`` and touches no word character."""
     quoted = "".join(f"[{c}]" if not c.isalnum() and c not in " '" else c for c in phrase).replace("'", "''" if not d.spark else r"\x27")
     return d.matches(x, rf"(^|[^\p{{L}}\p{{N}}_]){quoted}([^\p{{L}}\p{{N}}_]|$)")
+
+
+# Escapes of marks in generated text, in the order in which they are undone.
+ENTITIES = (("\\u003c", "<"), ("\\u003e", ">"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+UNESCAPE_PASSES = 24
+
+
+def unescape(x: str, d: Dialect = SPARK) -> str:
+    """Entities undone, then backslashes before ASCII punctuation dropped until none is left: a pass halves a run of them, so these serve runs of 2**24."""
+    quote = lambda v: "'" + (v.replace("\\", "\\\\").replace("'", "\\'") if d.spark else v.replace("'", "''")) + "'"
+    out = x
+    for escaped, plain in ENTITIES:
+        out = f"replace({out}, {quote(escaped)}, {quote(plain)})"
+    mark = r"\\\\([!-/:-@\[-`{-~])"
+    if d.spark:
+        return f"aggregate(sequence(1, {UNESCAPE_PASSES}), {out}, (s, i) -> if(contains(s, '\\\\'), regexp_replace(s, r'{mark[2:]}', '$1'), s))"
+    return f"list_reduce(list_concat([{out}], list_transform(range({UNESCAPE_PASSES}), lambda i: '')), lambda s, i: regexp_replace(s, '{mark[2:]}', '\\1', 'g'))"

@@ -86,8 +86,9 @@ def ambiguous(locations: DataFrame, key: str) -> DataFrame:
     return locations.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("locations")).where("locations > 1")
 
 
-def has_literal(text: str, atom: str) -> Column:
+def has_literal(text: str | Column, atom: str | Column) -> Column:
     """Whether an identifier is in a text by itself: no identifier character touches it, and a final dot only ends it if no such character follows."""
+    text, atom = (F.col(x) if isinstance(x, str) else x for x in (text, atom))
     edge = r"[\p{L}\p{N}_\-/\\:]"
-    pattern = F.concat(F.lit(rf"(?<!{edge}|[\p{{L}}\p{{N}}]\.)\Q"), F.col(atom), F.lit(rf"\E(?!{edge})(?!\.[\p{{L}}\p{{N}}])"))
-    return F.regexp_like(F.col(text), pattern)
+    quoted = F.replace(atom, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.regexp_like(text, F.concat(F.lit(rf"(?<!{edge}|[\p{{L}}\p{{N}}]\.)\Q"), quoted, F.lit(rf"\E(?!{edge})(?!\.[\p{{L}}\p{{N}}])")))

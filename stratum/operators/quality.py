@@ -64,13 +64,33 @@ def flags(docs: DataFrame, text_col: str = "text", extra: list[Column] | None =
     """``docs`` with ``flags``: array of (severity, position, rule, outcome) of the rules that hold. Null text counts as empty."""
     prepared = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     found = [
-        F.when(F.expr(test), F.struct(F.lit(OUTCOMES.index(outcome)).alias("severity"), F.lit(k).alias("position"), F.lit(rule).alias("rule"), F.lit(outcome).alias("outcome")))
+        F.when(F.expr(test), F.struct(F.lit(OUTCOMES.index(outcome)).alias("severity"), F.lit(10 * k).alias("position"), F.lit(rule).alias("rule"), F.lit(outcome).alias("outcome")))
         for k, (rule, (outcome, test)) in enumerate(rule_tests("__text").items())
     ]
     every = F.array(*found, *(extra or []))
     return prepared.withColumn("flags", F.filter(every, lambda x: x.isNotNull())).drop("__text")
 
 
+def record_flags(failed: Column, source_ref: Column, title: Column, incomplete_tables: Column, missing_assets: Column) -> list[Column]:
+    """Flags of what is recorded about a document, for ``flags``' extra: a failed canonicalization, tables with incomplete rows, a blank source reference or title, assets that are missing or outside the root."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    found = (
+        ("canonicalization.failed", "needs_reextraction", -10, failed), ("table.incomplete", "accepted_with_warnings", 45, incomplete_tables > 0),
+        ("metadata.missing", "quarantined", 100, blank(source_ref) | blank(title)), ("assets.missing", "accepted_with_warnings", 110, missing_assets > 0),
+    )
+    return [F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(OUTCOMES.index(o)).alias("severity"), F.lit(p).alias("position"), F.lit(rule).alias("rule"), F.lit(o).alias("outcome"))) for rule, o, p, test in found]
+
+
+def gate_report(decided: DataFrame, ledger_outcome: str | None = None) -> DataFrame:
+    """(kind, name, revisions): revisions by outcome, each counted once; by rule; by who decided; and kept ones whose ledger rule says something else."""
+    one = lambda kind, rows, name: rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("revisions")).select(F.lit(kind).alias("kind"), "name", "revisions")
+    out = one("outcome", decided, F.col("outcome")).unionByName(one("rule", decided.select(F.explode("rules").alias("r")), F.col("r"))).unionByName(one("decided_by", decided, F.col("decided_by")))
+    if ledger_outcome is None:
+        return out
+    outranked = decided.where((F.col("decided_by") == "kept") & F.col(ledger_outcome).isNotNull() & (F.col(ledger_outcome) != F.col("outcome")))
+    return out.unionByName(one("outranked", outranked, F.col(ledger_outcome)))
+
+
 def decide(flagged: DataFrame, kept: str | None = None, ledger: str | None = None, failed: str | None = None) -> DataFrame:
     """Adds ``outcome``, ``rules`` and ``decided_by``: a kept disposition, else the ledger's first rule unless it would accept a failed document, else the most severe flag.
 

@@ -603,6 +603,6 @@ def revision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other modules of queries register theirs as they are imported.
-from stratum.plans import assembly_queries, evaluation_queries, store_queries  # noqa: E402
+from stratum.plans import assembly_queries, document_queries, evaluation_queries, store_queries  # noqa: E402
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "assembly_queries", "evaluation_queries", "store_queries"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "assembly_queries", "document_queries", "evaluation_queries", "store_queries"]

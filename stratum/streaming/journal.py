@@ -63,6 +63,58 @@ def fold_states(events: DataFrame, key: str, order: str, state: str, first: str,
     return whole.select(key, F.expr(join).alias("s")).select(key, "s.state", "s.version", "s.refused")
 
 
+def lease_fold(requests: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, state, number, holder, expires, takeovers, refused) after each job's requests (at, seq, op, holder, number, term) in order.
+
+    take: granted to a queued job, or a running one whose lease has run out at that time (a take-over); the fencing number grows by
+    one. heartbeat: the lease's own holder and number renew it, run out or not, until another takes over. succeed, fail and cancel
+    need the same, and end the lease. Anything else is refused. A job's requests are few and are folded in one row.
+    """
+    listed = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"), "op", "holder", F.col("number").cast("long").alias("number"), F.col("term").cast("long").alias("term")))).alias("e"))
+    kind = "struct<state:string,number:bigint,holder:string,expires:bigint,takeovers:bigint,refused:bigint>"
+    make = lambda *v: f"cast(struct({', '.join(v)}) as {kind})"
+    own = "(s.state = 'running' and s.holder <=> x.holder and s.number = x.number)"
+    fold = f"""aggregate(e, {make("'queued'", "0L", "cast(null as string)", "0L", "0L", "0L")}, (s, x) -> CASE
+        WHEN x.op = 'take' and s.state = 'queued' THEN {make("'running'", "s.number + 1", "x.holder", "x.at + x.term", "s.takeovers", "s.refused")}
+        WHEN x.op = 'take' and s.state = 'running' and s.expires <= x.at THEN {make("'running'", "s.number + 1", "x.holder", "x.at + x.term", "s.takeovers + 1", "s.refused")}
+        WHEN x.op = 'heartbeat' and {own} THEN {make("s.state", "s.number", "s.holder", "x.at + x.term", "s.takeovers", "s.refused")}
+        WHEN x.op in ('succeed', 'fail', 'cancel') and {own} THEN {make("CASE x.op WHEN 'succeed' THEN 'succeeded' WHEN 'fail' THEN 'failed' ELSE 'cancelled' END", "s.number", "cast(null as string)", "0L", "s.takeovers", "s.refused")}
+        ELSE {make("s.state", "s.number", "s.holder", "s.expires", "s.takeovers", "s.refused + 1")} END)"""
+    return listed.select(key, F.expr(fold).alias("s")).select(key, "s.*")
+
+
+def publish_if_current(generations: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Generations (generation_id, collection_id, state) after the requests (generation_id, expected), and each request's ``outcome``.
+
+    One request a collection is looked at, the one with the smallest generation. published: it was verified and ``expected`` is the
+    collection's published generation, or null as there is none; that one is retired. Else unknown, illegal, changed or later.
+    """
+    live = generations.where("state = 'published'").select("collection_id", F.col("generation_id").alias("current"))
+    asked = requests.join(generations, "generation_id", "left").join(live, "collection_id", "left")
+    turn = F.row_number().over(Window.partitionBy("collection_id").orderBy("generation_id"))
+    outcome = F.when(F.col("state").isNull(), "unknown").when(turn > 1, "later").when(F.col("state") != "verified", "illegal").when(~F.col("expected").eqNullSafe(F.col("current")), "changed").otherwise("published")
+    judged = asked.select("generation_id", "collection_id", outcome.alias("outcome"))
+    done = judged.where("outcome = 'published'").select("collection_id", F.col("generation_id").alias("__new"))
+    state = F.when(F.col("generation_id") == F.col("__new"), "published").when(F.col("__new").isNotNull() & (F.col("state") == "published"), "retired").otherwise(F.col("state"))
+    after = generations.join(done, "collection_id", "left").select("generation_id", "collection_id", state.alias("state"))
+    return after, judged.select("generation_id", "outcome")
+
+
+#: Public events and the fields of their data.
+PUBLIC_EVENTS = {
+    "import.completed": ("collection", "imported", "unchanged", "held", "refused"),
+    "revision.held": ("collection", "revision", "disposition"),
+    "generation.published": ("collection", "generation", "points"),
+    "generation.retired": ("collection", "generation"),
+}
+
+
+def public_events(rows: DataFrame, kind: str) -> DataFrame:
+    """(stream, type, data) of one kind: rows have the kind's fields, and data is their JSON in that order."""
+    fields = PUBLIC_EVENTS[kind]
+    return rows.select(F.concat(F.lit("collection/"), "collection").alias("stream"), F.lit(f"{kind}.v1").alias("type"), F.to_json(F.struct(*fields)).alias("data"))
+
+
 def envelopes(journal: DataFrame, stream: str, kind: str, data: str) -> DataFrame:
     """(id, envelope): events as JSON envelopes with version, id, source, type, sequence and data."""
     body = F.to_json(F.struct(F.lit("1.0").alias("specversion"), F.concat(F.col(stream).cast("string"), F.lit("/"), F.col("sequence").cast("string")).alias("id"), F.col(stream).cast("string").alias("source"), F.col(kind).alias("type"), F.col("sequence"), F.col(data).alias("data")))
