@@ -239,7 +239,7 @@ def finding_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE c AS (SELECT l_orderkey AS id, l_linenumber % 3 AS priority, l_linenumber * 10 AS a, CAST(floor(l_linenumber * 10 + l_quantity / 2) AS BIGINT) AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3, l_linenumber) AS n FROM lineitem),
+    """WITH RECURSIVE c AS (SELECT l_orderkey AS id, l_linenumber % 3 AS priority, l_linenumber * 10 AS a, CAST(floor(l_linenumber * 10 + l_quantity / 2) AS BIGINT) AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3, l_linenumber, l_quantity) AS n FROM lineitem),
 f AS (SELECT id, 1 AS n, [{'a': a, 'b': b}] AS taken FROM c WHERE n = 1 UNION ALL SELECT c.id, c.n, CASE WHEN len(list_filter(taken, lambda y: c.a < y.b AND y.a < c.b)) > 0 THEN taken ELSE list_append(taken, {'a': c.a, 'b': c.b}) END FROM f JOIN c ON c.id = f.id AND c.n = f.n + 1)
 SELECT id, t.a AS span_start, t.b AS span_end FROM (SELECT id, unnest(taken) AS t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS r FROM f) WHERE r = 1)"""
 )

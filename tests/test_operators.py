@@ -265,3 +265,83 @@ def test_upsert_and_artifacts(spark):
     assert {tuple(r) for r in corpus.upsert(held, fresh, ["k"], replace=False).collect()} == {(1, "a"), (2, "b"), (3, "d")}
     contents = spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"x"),), (bytearray(b"y"),)], "content binary")
     assert corpus.put_artifacts(contents).count() == 2
+
+
+def test_mmr_units_and_budget(spark):
+
+    random.seed(3)
+    pools = {}
+    for q in range(12):
+        n = random.randint(1, 14)
+        unit = lambda: random.choice([None, None, "u1", "u2"])
+        pools[q] = [(q, f"c{q}-{r}", r, random.choice(["v1", "v2"]), [random.randint(0, 12) for _ in range(6)], unit(), random.randint(1, 40)) for r in range(n)]
+        pools[q] = [(*c[:4], sorted(set(c[4])), *c[5:]) for c in pools[q]]
+
+    def brute(pool, k, most):
+        sim = lambda a, b: 0 if a[3] != b[3] or not set(a[4]) & set(b[4]) else len(set(a[4]) & set(b[4])) / len(set(a[4]) | set(b[4]))
+        units = {}
+        for i, c in enumerate(pool):
+            units.setdefault(c[5] or f"own {i}", []).append(i)
+        pending, chosen, used = set(range(len(pool))), [], 0
+        while pending and len(chosen) < k:
+            best = min(pending, key=lambda i: (-round(0.7 / (pool[i][2] + 1) - 0.3 * max((sim(pool[i], pool[j]) for j in chosen), default=0), 12), pool[i][2]))
+            unit = next(u for u in units.values() if best in u)
+            pending -= set(unit)
+            size = sum(pool[i][6] for i in unit)
+            if len(chosen) + len(unit) <= k and used + size <= most:
+                chosen += unit
+                used += size
+        return [pool[i][1] for i in chosen]
+
+    frame = spark.createDataFrame([c for pool in pools.values() for c in pool], "query_id long, chunk_id string, rank int, version string, shingles array<long>, unit string, bytes long")
+    for k, most in ((5, 90), (3, 1000), (20, 60)):
+        got = {}
+        for r in sorted(evidence.mmr_select(frame, k, most_bytes=most).collect(), key=lambda r: (r.query_id, r.selected)):
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        assert got == {q: want for q, pool in pools.items() if (want := brute(pool, k, most))}
+
+
+def test_fold_of_states_in_blocks(spark):
+    from stratum.streaming import journal
+
+    names = ["running", "queued", "succeeded", "failed", "cancelled"]
+    rows = [(k, n, names[(n * 7 + k) % 5]) for k in range(4) for n in range(60)]
+    frame = spark.createDataFrame(rows, "job long, n long, state string")
+    whole = sorted(map(tuple, journal.fold_states(frame, "job", "n", "state", "queued", journal.JOB_STEPS).collect()))
+    assert whole == sorted(map(tuple, journal.fold_states(frame, "job", "n", "state", "queued", journal.JOB_STEPS, block=7).collect()))
+
+
+def test_conflict_units_are_transitive(spark):
+    from stratum.operators.evidence import conflict_units
+
+    rows = [(1, "g1", "c"), (1, "g1", "b"), (1, "g2", "b"), (1, "g2", "a"), (1, "g3", "z"), (2, "g1", "c")]
+    got = {tuple(r) for r in conflict_units(spark.createDataFrame(rows, "query_id long, group string, chunk_id string")).collect()}
+    assert got == {(1, "a", "a"), (1, "b", "a"), (1, "c", "a"), (1, "z", "z"), (2, "c", "c")}
+
+
+def test_minhash_recall_and_signatures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    found = {tuple(r)[:2] for r in dedup.candidate_pairs(dedup.minhash_signatures(docs, "doc_id", "text")).collect()}
+    wanted = {tuple(r)[:2] for r in dedup.confirmed_pairs(docs, "doc_id", "text").collect()}
+    assert wanted and len(found & wanted) >= 0.95 * len(wanted)
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & mask
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def signature(text):
+        words = text.encode().split()
+        hashes = set()
+        for i in range(max(1, len(words) - 4)):
+            h = 0xCBF29CE484222325
+            for byte in b"\xff".join(words[i : i + 5]) + b"\xff":
+                h = (h ^ byte) * 0x100000001B3 & mask
+            hashes.add(h)
+        return [min(mix(h ^ mix(s)) for h in hashes) for s in range(1, 129)]
+
+    texts = ["a b", "one two three four five six é seven", "x " * 12]
+    rows = dedup.minhash_signatures(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()
+    assert [[v & mask for v in r.signature] for r in sorted(rows, key=lambda r: r.id)] == [signature(t) for t in texts]
