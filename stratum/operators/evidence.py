@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.runtime import discard, settle
+from stratum.runtime import discard, settle, ship
 
 CLOSE_AT, MOST_TOKENS, SMALL = 500, 700, 150
 MMR_RELEVANCE, MMR_REDUNDANCY = 0.7, 0.3
@@ -165,14 +162,21 @@ def conflict_units(memberships: DataFrame, query: str = "query_id") -> DataFrame
             return after.select(query, "chunk_id", "unit")
 
 
-def pool_similarities(candidates: DataFrame, query: str = "query_id", shingle_col: str = "shingles") -> DataFrame:
-    """(query, a, b, similarity) by rank, a < b, where it is above 0: Jaccard of the shingle sets of candidates of one version and signature. A query's pool has at most 120 candidates."""
-    same = ["version", *(["signature"] if "signature" in candidates.columns else [])]
-    x, y = candidates.alias("x"), candidates.alias("y")
-    met = x.join(y, (F.col(f"x.{query}") == F.col(f"y.{query}")) & (F.col("x.rank") < F.col("y.rank")) & reduce(and_, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in same)))
-    shared = F.size(F.array_intersect(f"x.{shingle_col}", f"y.{shingle_col}"))
-    pairs = met.select(F.col(f"x.{query}").alias(query), F.col("x.rank").alias("a"), F.col("y.rank").alias("b"), shared.alias("shared"), (F.size(f"x.{shingle_col}") + F.size(f"y.{shingle_col}")).alias("total"))
-    return pairs.where("shared > 0").select(query, "a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("similarity"))
+def jaccards(sets: list, width: int = 1 << 17):
+    """Jaccard similarity of each two of a pool's sets of integers, as a matrix; of two empty sets 0. The sets' table of members is multiplied with itself in slices of ``width`` members."""
+    import numpy as np
+
+    sizes = np.array([len(s) for s in sets], np.int64)
+    members, at = np.unique(np.concatenate([np.asarray(s, np.int64) for s in sets]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.zeros((len(sets), len(sets)))
+    for start in range(0, len(members), width):
+        here = (at >= start) & (at < start + width)
+        table = np.zeros((len(sets), min(width, len(members) - start)), np.float32)
+        table[owner[here], at[here] - start] = 1
+        shared += table @ table.T
+    united = sizes[:, None] + sizes[None, :] - shared
+    return np.where(shared > 0, shared / np.maximum(united, 1), 0.0)
 
 
 def mmr_select(candidates: DataFrame, k: int, query: str = "query_id", shingle_col: str = "shingles", most_bytes: int | None = None) -> DataFrame:
@@ -181,13 +185,16 @@ def mmr_select(candidates: DataFrame, k: int, query: str = "query_id", shingle_c
     candidates: (query, chunk_id, rank from 0, version, shingles: distinct), and where there are such columns ``signature``
     (ordered protected facts: candidates with other ones are not similar), ``unit`` (candidates of one conflict unit are
     taken together or not at all; null: alone) and ``bytes``. A unit that doesn't fit into k passages or ``most_bytes``
-    is left out and the next one is tried. Similarities are made once a pair, in Spark; each choice then raises every
-    candidate's running maximum. A query's pool has at most 120 candidates, and is one row.
+    is left out and the next one is tried. Similarities are made once a pair; each choice then raises every candidate's
+    running maximum. A query's pool has at most 120 candidates, and is one row.
     """
-    given = {c: F.col(c) if c in candidates.columns else F.lit(None).cast(t) for c, t in (("unit", "string"), ("bytes", "long"))}
+    given = {c: F.col(c) if c in candidates.columns else F.lit(None).cast(t) for c, t in (("unit", "string"), ("bytes", "long"), ("signature", "string"))}
     kind = candidates.schema[query].dataType.simpleString()
-    pools = candidates.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), given["unit"].cast("string").alias("unit"), F.coalesce(given["bytes"], F.lit(0)).cast("long").alias("bytes")))).alias("c"))
-    sims = pool_similarities(candidates, query, shingle_col).groupBy(query).agg(F.collect_list(F.struct("a", "b", "similarity")).alias("s"))
+    alike = F.to_json(F.struct(F.col("version"), given["signature"].alias("signature")))
+    whole = candidates.schema[shingle_col].dataType.elementType.typeName() in ("long", "integer")
+    hashed = F.col(shingle_col) if whole else F.transform(shingle_col, lambda x: F.xxhash64(x))
+    row = F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), given["unit"].cast("string").alias("unit"), F.coalesce(given["bytes"], F.lit(0)).cast("long").alias("bytes"), alike.alias("alike"), hashed.alias("s"))
+    pools = candidates.groupBy(query).agg(F.array_sort(F.collect_list(row)).alias("c"))
 
     def run(frames):
         import numpy as np
@@ -195,12 +202,9 @@ def mmr_select(candidates: DataFrame, k: int, query: str = "query_id", shingle_c
 
         for frame in frames:
             out = []
-            for q, members, pairs in frame.itertuples(index=False, name=None):
-                place = {m["rank"]: i for i, m in enumerate(members)}
-                similar = np.zeros((len(members), len(members)))
-                for p in pairs if pairs is not None else ():
-                    i, j = place[p["a"]], place[p["b"]]
-                    similar[i, j] = similar[j, i] = p["similarity"]
+            for q, members in frame.itertuples(index=False, name=None):
+                alike = np.unique([m["alike"] for m in members], return_inverse=True)[1]
+                similar = np.where(alike[:, None] == alike[None, :], jaccards([m["s"] for m in members]), 0.0)
                 units = {}
                 for i, m in enumerate(members):
                     units.setdefault(("u", m["unit"]) if m["unit"] is not None else ("i", i), []).append(i)
@@ -220,7 +224,8 @@ def mmr_select(candidates: DataFrame, k: int, query: str = "query_id", shingle_c
                     greatest = np.maximum(greatest, similar[unit].max(axis=0))
             yield pd.DataFrame(out, columns=[query, "chunk_id", "selected"])
 
-    return pools.join(sims, query, "left").mapInPandas(run, f"`{query}` {kind}, chunk_id string, selected long")
+    ship(candidates.sparkSession)
+    return pools.mapInPandas(run, f"`{query}` {kind}, chunk_id string, selected long")
 
 
 def reading_order(passages: DataFrame, query: str = "query_id") -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stratum.functions import text as T
 from stratum.runtime import settle, spread
 
+#: Terms of all queries that may be sent to every executor.
+MOST_BROADCAST = 1_000_000
+
 
 def as_terms(tokens: DataFrame, token: str) -> DataFrame:
     """Adds ``term`` and leaves out stopwords. The same as ``text.term``, but each step's patterns run only on words with its ending."""
@@ -26,7 +29,8 @@ def as_terms(tokens: DataFrame, token: str) -> DataFrame:
 def term_frequencies(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, length): length counts all terms of the passage, repeats included. Passages without terms give no rows."""
     cut = spread(passages.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(F.expr(T.chunks(T.fold(text_col)))).alias("c"))
-    terms = as_terms(cut.select("id", F.explode(F.expr(T.chunk_tokens("c"))).alias("t")), "t").select("id", "term")
+    # Dealt out by passage once: counts and lengths then need no further shuffle.
+    terms = as_terms(cut.select("id", F.explode(F.expr(T.chunk_tokens("c"))).alias("t")), "t").select("id", "term").repartition("id")
     counts = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
 
@@ -53,15 +57,22 @@ def sparse_vectors(frequencies: DataFrame, average: DataFrame) -> DataFrame:
 def bm25_topk(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 10) -> DataFrame:
     """(query_id, id, score, rank): the k best passages of each query; each distinct query term counts once; ties by id.
 
-    Terms that no query has are dropped right after analysis, but for their share in lengths.
+    Passages are analysed once and written, a row each. The queries' terms with their weights are broadcast if there are at
+    most ``MOST_BROADCAST`` of them. Passages are dealt out by id, so a passage's scores add up where it lies, and each task
+    keeps its best of a query before these are brought together.
     """
-    wanted = term_frequencies(queries, query_id, query_text).select(F.col("id").alias("query_id"), "term")
-    # Lengths and weights both need the frequencies: they are analysed once and written.
-    frequencies = settle(term_frequencies(passages, id_col, text_col), "frequencies")
-    average = average_length(frequencies, passages)
-    relevant = frequencies.join(wanted.select("term").distinct(), "term", "left_semi")
-    stats = term_statistics(relevant, average)
-    weighted = relevant.join(stats, "term").join(F.broadcast(average), how="cross").select("id", "term", (F.col("idf") * F.expr(T.tf_weight("tf", "length", "average_length"))).alias("w"))
-    scores = weighted.join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    wanted = settle(term_frequencies(queries, query_id, query_text).select(F.col("id").alias("query_id"), "term"), "query-terms")
+    small = wanted.count() <= MOST_BROADCAST
+    hint = F.broadcast if small else (lambda df: df)
+    listed = term_frequencies(passages, id_col, text_col).groupBy("id").agg(F.max("length").alias("length"), F.collect_list(F.struct("term", "tf")).alias("terms"))
+    held = settle(listed, "frequencies")
+    terms = held.agg(F.sum("length").alias("terms"))
+    average = passages.agg(F.count(F.lit(1)).alias("passages")).crossJoin(terms).select("passages", F.coalesce(F.try_divide(F.col("terms").cast("double"), "passages"), F.lit(0.0)).alias("average_length"))
+    asked = wanted.select("term").distinct()
+    relevant = held.select(F.explode("terms.term").alias("term")).join(hint(asked), "term", "left_semi")
+    weighted = wanted.join(term_statistics(relevant, average).select("term", "idf"), "term")
+    apart = held.repartition("id").select("id", "length", F.explode("terms").alias("t")).select("id", "length", "t.term", "t.tf")
+    met = apart.join(hint(weighted), "term").join(F.broadcast(average), how="cross")
+    scores = met.groupBy("id", "query_id").agg(F.round(F.sum(F.col("idf") * F.expr(T.tf_weight("tf", "length", "average_length"))), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")

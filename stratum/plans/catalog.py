@@ -13,7 +13,7 @@ from stratum.functions import identifiers as I
 from stratum.functions import text as T
 from stratum.operators import dedup, evaluation, evidence, inventory, lexical, quality, retrieval
 from stratum.plans.registry import ORACLE_SQL, QUERIES, query
-from stratum.runtime import settle
+from stratum.runtime import settle, spread
 from stratum.sources import corpus
 from stratum.sources.tables import table
 from stratum.streaming import journal
@@ -83,7 +83,7 @@ def identifier_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(F.expr(I.index_identifiers("text"))).alias("identifier"), F.col("doc_id").alias("chunk_id"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.explode(F.expr(I.index_identifiers("text"))).alias("identifier"), F.col("doc_id").alias("chunk_id"))
 
 
 _POSTINGS = f"p AS (SELECT DISTINCT doc_id AS chunk_id, unnest({I.index_identifiers('text', D)}) AS identifier FROM documents)"
@@ -121,12 +121,12 @@ def _quality_sql() -> str:
 
 @query(f"SELECT doc_id, CASE WHEN len(f) = 0 THEN 'accepted' ELSE f[1].o END AS outcome, array_to_string(list_transform(f, lambda x: x.r), ',') AS rules FROM ({_quality_sql()})")
 def quality_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.decide(quality.flags(table(spark, sf_dir, "documents"))).select("doc_id", "outcome", F.array_join("rules", ",").alias("rules"))
+    return quality.decide(quality.flags(spread(table(spark, sf_dir, "documents")))).select("doc_id", "outcome", F.array_join("rules", ",").alias("rules"))
 
 
 @query(f"SELECT CASE WHEN len(f) = 0 THEN 'accepted' ELSE f[1].o END AS outcome, count(*) AS revisions FROM ({_quality_sql()}) GROUP BY 1")
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.decide(quality.flags(table(spark, sf_dir, "documents"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("revisions"))
+    return quality.decide(quality.flags(spread(table(spark, sf_dir, "documents")))).groupBy("outcome").agg(F.count(F.lit(1)).alias("revisions"))
 
 
 _BODY = "regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'gis')"
