@@ -51,26 +51,27 @@ def _cells(ring: DataFrame) -> DataFrame:
 
 
 def _takes(arcs: DataFrame, shards: int, slack: float) -> DataFrame:
-    """(arc, begin, upto, shard, offset): which ranks of each arc go to which shard, and the slot of the first. One row of bounded arrays is folded."""
-    one = arcs.agg(F.array_sort(F.collect_list(F.struct("arc", "n", "prefs"))).alias("arcs")).withColumn("total", F.expr("aggregate(arcs, 0L, (s, x) -> s + x.n)"))
-    quota = (
-        f"transform(sequence(0, {shards - 1}), s -> total div {shards} + if(s < total % {shards}, 1L, 0L))"
-        if not slack
-        else f"transform(sequence(0, {shards - 1}), s -> cast(ceil(total * {1 + slack!r}D / {shards}) as bigint))"
-    )
-    steps = f"flatten(transform(sequence(0, {shards - 1}), c -> transform(arcs, (x, i) -> struct(c as choice, i as place, x.arc as arc, x.prefs[c] as shard))))"
-    t = "least(st.rest[e.place], st.room[e.shard])"
-    fold = f"""aggregate(steps,
-        struct(quota as room, transform(arcs, x -> x.n) as rest, cast(array() as array<bigint>) as takes),
-        (st, e) -> struct(
-            transform(st.room, (r, s) -> if(s = e.shard, r - {t}, r)) as room,
-            transform(st.rest, (r, i) -> if(i = e.place, r - {t}, r)) as rest,
-            concat(st.takes, array({t})) as takes),
-        st -> st.takes)"""
-    folded = one.withColumn("quota", F.expr(quota)).withColumn("steps", F.expr(steps)).withColumn("takes", F.expr(fold))
-    each = folded.select(F.explode(F.arrays_zip("steps", "takes")).alias("x")).select("x.steps.choice", "x.steps.arc", "x.steps.shard", F.col("x.takes").alias("take")).where("take > 0")
+    """(arc, begin, upto, shard, offset): which ranks of each arc go to which shard, and the slot of the first.
+
+    A round for each place in the arcs' orders, of windows over at most one row an arc; it ends as soon as all rows are taken.
+    """
+    total = arcs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    share = F.ceil(F.col("total") * F.lit(1 + slack) / shards) if slack else F.floor(F.col("total") / shards) + F.when(F.col("shard") < F.col("total") % shards, 1).otherwise(0)
+    room = arcs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).crossJoin(total).select("shard", share.cast("long").alias("room"))
+    rest, given = arcs.select("arc", F.col("n").alias("rest"), "prefs"), None
+    for choice in range(shards):
+        before = F.sum("rest").over(Window.partitionBy("shard").orderBy("arc")) - F.col("rest")
+        asked = rest.withColumn("shard", F.col("prefs")[choice]).join(F.broadcast(room), "shard")
+        taken = settle(asked.withColumn("take", F.least("rest", F.greatest(F.col("room") - before, F.lit(0).cast("long")))), "round")
+        part = taken.where("take > 0").select(F.lit(choice).alias("choice"), "arc", "shard", "take")
+        given = part if given is None else given.unionByName(part)
+        rest = taken.where("take < rest").select("arc", (F.col("rest") - F.col("take")).alias("rest"), "prefs")
+        if rest.isEmpty():
+            break
+        used = taken.groupBy("shard").agg(F.sum("take").alias("used"))
+        room = settle(room.join(used, "shard", "left").select("shard", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), "room")
     in_arc, in_shard = Window.partitionBy("arc").orderBy("choice"), Window.partitionBy("shard").orderBy("choice", "arc")
-    return each.select("arc", "shard", F.sum("take").over(in_arc).alias("upto"), "take", (F.sum("take").over(in_shard) - F.col("take")).alias("offset")).select(
+    return given.select("arc", "shard", F.sum("take").over(in_arc).alias("upto"), "take", (F.sum("take").over(in_shard) - F.col("take")).alias("offset")).select(
         "arc", (F.col("upto") - F.col("take")).alias("begin"), "upto", "shard", "offset"
     )
 
@@ -93,7 +94,7 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ring = settle(_ring(spark, shards, vnodes), "ring")
     counts = rows.groupBy("cell").agg(F.sum("m").alias("n")).join(F.broadcast(_cells(ring)), "cell")
     cells = settle(counts.withColumn("before", F.sum("n").over(Window.partitionBy("arc").orderBy("cell")) - F.col("n")), "cells")
-    arcs = cells.groupBy("arc").agg(F.sum("n").alias("n")).join(F.broadcast(ring.select("arc", "prefs")), "arc")
+    arcs = settle(cells.groupBy("arc").agg(F.sum("n").alias("n")).join(F.broadcast(ring.select("arc", "prefs")), "arc"), "arcs")
     takes = settle(_takes(arcs, shards, slack), "takes")
     order = Window.partitionBy("cell").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "size", "text_crc32", "doc_id")
     ranked = rows.withColumn("upto", F.sum("m").over(order)).join(F.broadcast(cells.select("cell", "arc", "before")), "cell")
