@@ -129,6 +129,12 @@ def test_sentencepiece_equals_the_library(spark, documents, odd, odd_rows):
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
 
 
+def test_sentencepiece_of_nothing(spark, none):
+    assert sentencepiece_viterbi.encode_decode(none).count() == 0
+    row = sentencepiece_viterbi.encode_decode(none.sparkSession.createDataFrame([(1, None)], "doc_id long, text string")).first()
+    assert (row.n_tokens, row.round_trip) == (0, True)
+
+
 def test_unigram_viterbi_equals_the_library(tmp_path):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -295,6 +301,17 @@ def test_license_marks_outside_ascii(spark):
     assert all(got[i].cosine == 1.0 for i in (0, 1, 3, 4))
 
 
+def test_license_of_odd_rows(spark, odd_rows, none):
+    """A row for each file, whatever its text: null, empty, very long, repeated; ids may be null, columns may clash."""
+    long = " ".join(t or "" for _, t in odd_rows) + " Released under the MIT License " + "word " * 20_000
+    files = [(i, f"a/{k}.txt", t, "clash", 0.5, 1) for k, (i, t) in enumerate(odd_rows)] + [(99, "b/x.txt", long, "clash", 0.5, 1), (98, None, "MIT License", "clash", 0.5, 1)]
+    frame = spark.createDataFrame(files, "doc_id long, path string, text string, license string, cosine double, key int")
+    got = licenses.scan(frame).collect()
+    assert Counter(r.doc_id for r in got) == Counter(f[0] for f in files)
+    assert {r.license for r in got if r.doc_id == 99} == {"MIT"}
+    assert licenses.scan(spark.createDataFrame([], frame.schema)).count() == 0
+
+
 def test_license_windows_and_texts(spark):
     """Notices inside longer lines and over line breaks against every window; a licence's text speaks for its directory."""
     import math
@@ -699,6 +716,25 @@ def test_pipeline_stages(spark):
     assert kept.where("doc_id < 0").count() == 0
 
 
+def test_pipeline_stages_of_odd_tables(spark, odd_rows):
+    """Each stage takes null, empty, long and repeated rows with columns of clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, __x int"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5, 2, 3) for i, t in odd_rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        if name != "sentencepiece":
+            assert got.columns == docs.columns
+            assert not {(r.doc_id, r.text) for r in got.collect()} - set(odd_rows)
+        else:
+            assert got.count() == len(odd_rows)
+        assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
+    ids = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    heads = {c for i, _, c in brute_components([(i, brute_fingerprint(t or "")) for i, t in odd_rows if i is not None])}
+    assert {i for i in ids if i is not None} == heads
+
+
 def test_registry_covers_ten():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
