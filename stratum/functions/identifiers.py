@@ -17,7 +17,7 @@ _PATTERNS = {
     "version": r"(?:^|[^\p{L}\p{N}_.])([vV][0-9]+(?:\.[0-9]+){0,3}|[0-9]+(?:\.[0-9]+){1,3})(?:$|[^\p{L}\p{N}_.]|\.(?:$|[^0-9]))",
     "port": r"(?:[pP][oO][rR][tT] +|:)([0-9]{1,5})(?:$|[^\p{L}\p{N}_.]|\.(?:$|[^0-9]))",
     "error_code": r"(?:^|[^\p{L}\p{N}_])([A-Z]{1,6}[-_]?[0-9]{2,6}[A-Z]?)(?:$|[^\p{L}\p{N}_])",
-    "parameter": r"(?:^|[\s(\[`])(--[a-z][a-z0-9-]*|-[A-Za-z]|[A-Z][A-Z0-9_]*=[^\s]+|\$[A-Z_][A-Z0-9_]*|\$\{[A-Z_][A-Z0-9_]*\})(?:$|[\s,;.)\]`=])",
+    "parameter": r"(?:^|[\s(\[`])(--[A-Za-z][A-Za-z0-9-]*|-[A-Za-z]|[A-Za-z_][A-Za-z0-9_]*=[^\s]+|\$[A-Za-z_][A-Za-z0-9_]*|\$\{[A-Za-z_][A-Za-z0-9_]*\})(?:$|[\s,;.)\]`=])",
 }
 
 

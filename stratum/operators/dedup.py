@@ -137,3 +137,9 @@ def groups(pairs: DataFrame) -> DataFrame:
     best = both.groupBy("x").agg(F.max("jaccard").alias("jaccard"))
     named = labels.groupBy("root").agg(F.concat(F.lit("near-"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.col("x").cast("string")))), 256)).alias("group_id"))
     return labels.join(named, "root").join(best, "x").select(F.col("x").alias("member"), "root", "group_id", "jaccard")
+
+
+def membership(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, representative, group_id, jaccard) of every document: copies of a text share its smallest id, and are in its near-duplicate group if it has one; a document alone has none."""
+    placed = occurrences(docs, id_col, text_col)
+    return placed.join(grouped.select(F.col("member").alias("representative"), "group_id", "jaccard"), "representative", "left").select("id", "representative", "group_id", "jaccard")

@@ -138,7 +138,7 @@ def version_collapse(passages: DataFrame, family: list[str], version: str, ident
     w = Window.partitionBy(*family)
     keyed = passages.withColumn("__k", F.expr(version_key(version)))
     top = F.max(F.struct("__k", F.col(identity).alias("id"))).over(w)
-    many = F.count(F.lit(1)).over(w) > 1
+    many = F.min(identity).over(w) != F.max(identity).over(w)
     status = F.when(~many, "current").when(F.col("__k").isNull() | (F.max("__k").over(w).isNull()), "undecided").when(F.col("__k") < F.max("__k").over(w), "alternate").otherwise("current")
     return keyed.withColumns({"status": status, "winner": F.when(status == "alternate", top["id"])}).drop("__k")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import prompt_form
-from stratum.runtime import settle
+from stratum.runtime import map_arrow, settle
 
 #: Routes in the order in which their shares are added up.
 ROUTES = ("dense_intent", "lexical_intent", "dense", "lexical", "identifier", "structured")
@@ -57,14 +57,50 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries
 
 
 def _dense_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    v = vectors.select("id", unit(F.col("vector")).alias("v")).withColumn("nv", norm(F.col("v"))).where("nv > 0")
-    q = queries.select("query_id", unit(F.col("vector")).alias("q")).withColumn("nq", norm(F.col("q"))).where("nq > 0")
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = v.join(F.broadcast(q), F.size("v") == F.size("q")).select("query_id", "id", F.round(dot / (F.col("nv") * F.col("nq")), 6).alias("score"))
+    """Products of each batch of vectors with all queries as one matrix product; a task keeps its batches' best ``k`` of each query, ties at the end too."""
+    spark = vectors.sparkSession
+    asked = [(r.query_id, r.q) for r in queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("q")).where("q IS NOT NULL").toLocalIterator()]
+    kinds = {n: vectors.schema["id"].dataType.simpleString() if n == "id" else queries.schema["query_id"].dataType.simpleString() for n in ("query_id", "id")}
+    shared = spark.sparkContext.broadcast(asked)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        by_size = {}
+        for key, q in shared.value:
+            by_size.setdefault(len(q), []).append((key, np.array([np.nan if x is None else x for x in q], float)))
+        groups = []
+        for size, rows in by_size.items():
+            matrix = np.stack([q for _, q in rows])
+            norms = np.linalg.norm(matrix, axis=1)
+            good = norms > 0
+            groups.append((size, [key for (key, _), g in zip(rows, good, strict=True) if g], (matrix[good] / norms[good, None]).T))
+        for batch in batches:
+            vectors_ = batch.column(1).to_pylist()
+            for size, keys, matrix in groups:
+                at = np.array([i for i, v in enumerate(vectors_) if v is not None and len(v) == size], np.int64)
+                if not len(at) or not keys:
+                    continue
+                rows = np.array([[np.nan if x is None else x for x in vectors_[i]] for i in at], float)
+                norms = np.linalg.norm(rows, axis=1)
+                at, rows, norms = at[norms > 0], rows[norms > 0], norms[norms > 0]
+                score = np.round(rows @ matrix / norms[:, None], 6)
+                score[np.isnan(score)] = -np.inf
+                if not len(at):
+                    continue
+                least = np.partition(score, max(len(at) - k, 0), axis=0)[max(len(at) - k, 0)]
+                row, col = np.nonzero((score >= least) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[c] for c in col.tolist()]), batch.column(0).take(pa.array(at[row])), pa.array(score[row, col])], ["query_id", "id", "score"])
+
+    best = map_arrow(vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v")), run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def dense_route(vectors: DataFrame, queries: DataFrame, limit: int = ROUTE_LIMIT) -> DataFrame:
+    """(query_id, chunk_id, rank): twice ``limit`` hits by exact cosine, ranked with ties by id, of which ``limit`` stay."""
+    return tie_ranked(dense_topk(vectors, queries, 2 * limit).withColumnRenamed("id", "chunk_id"), limit)
 
 
 def tie_ranked(hits: DataFrame, limit: int = ROUTE_LIMIT) -> DataFrame:

@@ -191,6 +191,20 @@ def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.groups(dedup.confirmed_pairs(_representatives(spark, sf_dir), "doc_id", "text"))
 
 
+@query(
+    f"""WITH RECURSIVE {_SHINGLES}, e AS (SELECT a AS x, b AS y, jaccard FROM j UNION ALL SELECT b, a, jaccard FROM j),
+reach(x, y) AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+roots AS (SELECT x AS member, least(min(y), x) AS root FROM reach GROUP BY x),
+g AS (SELECT root, 'near-' || sha256('["' || string_agg(CAST(member AS VARCHAR), '","' ORDER BY CAST(member AS VARCHAR)) || '"]') AS group_id FROM roots GROUP BY root),
+o AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY sha256(text)) AS representative FROM documents)
+SELECT id, representative, coalesce(group_id, '') AS group_id FROM o LEFT JOIN roots ON member = representative LEFT JOIN g USING (root)"""
+)
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grouped = dedup.groups(dedup.confirmed_pairs(_representatives(spark, sf_dir), "doc_id", "text"))
+    return dedup.membership(docs, grouped, "doc_id", "text").select("id", "representative", F.coalesce("group_id", F.lit("")).alias("group_id"))
+
+
 @query()
 def minhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.candidate_pairs(dedup.minhash_signatures(_representatives(spark, sf_dir), "doc_id", "text"))
@@ -277,7 +291,8 @@ g AS (SELECT query_id, n, id, score AS leader, 0 AS grp FROM h WHERE n = 1
 SELECT * FROM (SELECT query_id, CAST(id AS VARCHAR) AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY grp, CAST(id AS VARCHAR)) AS rank FROM g) WHERE rank <= 100"""
 )
 def tie_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.tie_ranked(_dense(spark, sf_dir, 200).withColumnRenamed("id", "chunk_id"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.dense_route(vectors, vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"))
 
 
 # Spans, packing, conflicts, versions.

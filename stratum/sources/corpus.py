@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratum.runtime import settle
+
 ENTRY = "path string, sha256 string, bytes long, source_ref string, title string, source_kind string, `set` string, version string, lang string, captured_at string, product string, component string, platform string, extractor map<string,string>, access map<string,string>"
 REQUIRED = ("path", "sha256", "bytes", "source_ref", "title", "source_kind")
 FIELDS = ("schema", *REQUIRED, "set", "version", "lang", "captured_at", "product", "component", "platform", "extractor", "access")
@@ -12,7 +14,7 @@ FIELDS = ("schema", *REQUIRED, "set", "version", "lang", "captured_at", "product
 
 def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Entries and refusals (line, reason) of a JSON-lines manifest. Lines are strict: an object, no unknown field, all required ones there, sizes and hashes well formed. Blank lines count but are neither."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "raw")).select((F.col("at") + 1).alias("line"), "raw").where(F.trim("raw") != "")
+    lines = _numbered_lines(spark, path).where(F.trim("raw") != "")
     parsed = lines.withColumn("e", F.from_json("raw", ENTRY)).withColumn("keys", F.json_object_keys("raw"))
     known = F.array(*map(F.lit, FIELDS))
     missing = F.filter(F.array(*[F.when(F.col(f"e.{f}").isNull(), F.lit(f)) for f in REQUIRED]), lambda x: x.isNotNull())
@@ -28,6 +30,16 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason IS NULL").select("line", "e.*"), checked.where("reason IS NOT NULL").select("line", "reason")
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, raw): lines with their numbers in the file, from 1. A file is read in its splits: lines are numbered in each, and the few splits' counts give where each begins."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    held = settle(read, "lines")
+    sizes = held.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return held.withColumn("within", within).join(F.broadcast(before), ["file", "block"]).select((F.col("before") + F.col("within")).alias("line"), "raw")
+
+
 def verified(entries: DataFrame, root: str) -> DataFrame:
     """Entries with their files' ``content`` and ``state``: imported, missing, size, digest or encoding. Files are read where they lie, by Spark."""
     spark = entries.sparkSession
@@ -70,8 +82,9 @@ def collectable(artifacts: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str, generation: str) -> None:
-    """A generation's points as its own partition folder, clustered by point id; a generation is written once."""
-    points.withColumn("generation", F.lit(generation)).sortWithinPartitions("point_id").write.partitionBy("generation").mode("append").parquet(path)
+    """A generation's points as its own partition folder, clustered by point id. Writing it again replaces it and no other, so an interrupted write is simply repeated; of points with one id the first by all columns stays."""
+    one = points.groupBy("point_id").agg(F.min(F.struct(*[c for c in points.columns if c != "point_id"])).alias("p")).select("point_id", "p.*") if len(points.columns) > 1 else points.distinct()
+    one.withColumn("generation", F.lit(generation)).sortWithinPartitions("point_id").write.partitionBy("generation").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def verify_generation(points: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -258,6 +258,34 @@ def test_manifest_and_files(spark, tmp_path):
     assert {r.path: r.state for r in corpus.verified(entries, str(files)).collect()} == {"a.md": "imported", "b.md": "missing", "c.md": "size"}
 
 
+def test_manifest_lines_over_splits(spark, tmp_path):
+    good = {"path": "a.md", "sha256": "0" * 64, "bytes": 2, "source_ref": "r", "title": "t", "source_kind": "k"}
+    lines = ["" if k % 7 == 0 else "[]" if k % 11 == 0 else json.dumps({**good, "path": f"{k}.md"}) for k in range(1, 2001)]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        entries, refusals = corpus.manifest(spark, str(tmp_path / "m.jsonl"))
+        assert {(r.line, r.path) for r in entries.collect()} == {(k, f"{k}.md") for k, x in enumerate(lines, 1) if x.startswith("{")}
+        assert {r.line for r in refusals.collect()} == {k for k, x in enumerate(lines, 1) if x == "[]"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_points_are_written_again_without_harm(spark, tmp_path):
+    path = str(tmp_path / "points")
+    points = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "point_id long, payload string")
+    for generation in ("g1", "g2", "g1"):
+        corpus.write_points(points, path, generation)
+    assert sorted((r.generation, r.point_id, r.payload) for r in spark.read.parquet(path).collect()) == [("g1", 1, "a"), ("g1", 2, "b"), ("g2", 1, "a"), ("g2", 2, "b")]
+
+
+def test_dense_of_odd_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, None), (6, [3.0, 0.0]), (7, [-1.0, 0.0])], "id long, vector array<float>")
+    queries = spark.createDataFrame([("q", [2.0, 0.0]), ("z", [0.0, 0.0]), ("one", [5.0]), ("none", None)], "query_id string, vector array<float>")
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in retrieval.dense_topk(vectors, queries, 3).collect())
+    assert got == [("one", 1, 4, 1.0), ("q", 1, 1, 1.0), ("q", 2, 6, 1.0), ("q", 3, 2, 0.0)]
+
+
 def test_upsert_and_artifacts(spark):
     held = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     fresh = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
