@@ -1,9 +1,11 @@
 """AVI motion-JPEG: writing, index parsing, intra-frame decoding and shot detection.
 
 Frames are JPEG images, each decoded by itself: lossless ones (process 14, predictor 1, one 8-bit
-component) and baseline ones of one component. All frames of a block that share a header are decoded
-in step: each step reads one Huffman symbol of every frame through a table that is indexed by the next
-16 bits. A RIFF file's ``idx1`` index says where the frames are; a file without one is walked.
+component) and baseline ones of one component; a baseline frame without tables of its own has the
+standard's. All frames of a block that share a header are decoded in step: each step reads one Huffman
+symbol of every frame through a table that is indexed by the next 16 bits. A RIFF file's ``idx1`` index
+says where the frames are; a file without one is walked, with its ``rec `` lists, and so are the further
+parts of a file in several (``AVIX``). Of several video streams the first counts.
 
 Shots: histograms of neighbouring frames differ by half their absolute difference; a cut is where that
 exceeds both ``FLOOR`` and the mean plus ``SIGMAS`` deviations of the ``HISTORY`` differences before it
@@ -17,6 +19,7 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,15 @@ HISTORY, SIGMAS, FLOOR = 8, 3.0, 0.15
 #: Code lengths 1 to 16 and symbols of the standard's luminance DC table; they serve differences of lossless frames.
 DC_COUNTS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_SYMBOLS = tuple(range(12))
+#: Code lengths 1 to 16 and symbols of the standard's luminance AC table.
+AC_COUNTS = (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125)
+AC_SYMBOLS = bytes.fromhex(
+    "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"
+    "090a161718191a25262728292a3435363738393a434445464748494a535455565758595a"
+    "636465666768696a737475767778797a838485868788898a92939495969798999a"
+    "a2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9da"
+    "e1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+)
 
 
 def _codes(counts: tuple[int, ...] | bytes, symbols: tuple[int, ...] | bytes) -> dict[int, tuple[int, int]]:
@@ -130,37 +142,69 @@ def _walk(data: bytes, start: int, stop: int) -> Iterator[tuple[bytes, int, int]
         at += 8 + size + (size & 1)
 
 
+def _frames_of(data: bytes, start: int, stop: int, tags: set[bytes]) -> Iterator[bytes]:
+    """Frames of a list in the order of the file, with those of the ``rec `` lists in it."""
+    for tag, a, b in _walk(data, start, stop):
+        if tag == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _frames_of(data, a + 4, b, tags)
+        elif tag in tags:
+            yield data[a:b]
+
+
+def _streams(data: bytes, start: int, stop: int) -> tuple[float, set[bytes]]:
+    """Frames a second, and the chunk tags of the first video stream."""
+    fps, number, tags = float(FPS), 0, set()
+    for tag, a, b in _walk(data, start, stop):
+        if tag == b"avih":
+            fps = 1e6 / max(1, int.from_bytes(data[a : a + 4], "little"))
+        elif tag == b"LIST" and data[a : a + 4] == b"strl":
+            if not tags and any(t == b"strh" and data[c : c + 4] == b"vids" for t, c, _ in _walk(data, a + 4, b)):
+                tags = {b"%02ddc" % number, b"%02ddb" % number}
+            number += 1
+    return fps, tags
+
+
 def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
-    """Frames a second and the frames, by the index where there is one. Not an AVI file: ValueError."""
+    """Frames a second and the first video stream's frames, by the index where there is one. Not an AVI file: ValueError."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not a RIFF AVI file")
-    fps, movi, index = float(FPS), None, None
-    for tag, a, b in _walk(data, 12, len(data)):
-        if tag == b"LIST" and data[a : a + 4] == b"hdrl":
-            for t, c, _ in _walk(data, a + 4, b):
-                if t == b"avih":
-                    fps = 1e6 / max(1, int.from_bytes(data[c : c + 4], "little"))
-        elif tag == b"LIST" and data[a : a + 4] == b"movi":
-            movi = (a, b)
-        elif tag == b"idx1":
-            index = (a, b)
-    if movi is None:
+    fps, tags, index, lists = float(FPS), set(), None, []
+    for part, start, stop in _walk(data, 0, len(data)):
+        if part != b"RIFF":
+            continue
+        for tag, a, b in _walk(data, start + 4, stop):
+            if tag == b"LIST" and data[a : a + 4] == b"hdrl":
+                fps, tags = _streams(data, a + 4, b)
+            elif tag == b"LIST" and data[a : a + 4] == b"movi":
+                lists.append((a, b))
+            elif tag == b"idx1" and index is None:
+                index = (a, b)
+    if not lists:
         raise ValueError("no frames list")
-    if index is None:
-        return fps, [data[a:b] for tag, a, b in _walk(data, movi[0] + 4, movi[1]) if tag[2:] in (b"dc", b"db")]
+    tags = tags or {b"00dc", b"00db"}
     frames = []
-    for tag, _, at, size in struct.iter_unpack("<4s3I", data[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]):
-        if tag[2:] in (b"dc", b"db"):
-            start = at + (movi[0] if data[movi[0] + at : movi[0] + at + 4] == tag else 0) + 8
-            frames.append(data[start : start + size])
+    if index is not None:
+        base, lists = lists[0][0], lists[1:]
+        for tag, _, at, size in struct.iter_unpack("<4s3I", data[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]):
+            if tag in tags:
+                start = at + (base if data[base + at : base + at + 4] == tag else 0) + 8
+                frames.append(data[start : start + size])
+    for a, b in lists:
+        frames.extend(_frames_of(data, a + 4, b, tags))
     return fps, frames
 
 
+@lru_cache(maxsize=1)
+def _standard_tables() -> tuple[tuple[int, np.ndarray], ...]:
+    """Tables of frames that bring none: luminance DC and AC."""
+    return ((0, _peek_table(DC_COUNTS, DC_SYMBOLS)), (16, _peek_table(AC_COUNTS, AC_SYMBOLS)))
+
+
 class _Head:
     """What a frame's segments before its scan say."""
 
     def __init__(self, data: bytes):
-        self.quant, self.tables = {}, {}
+        self.quant, self.tables = {}, dict(_standard_tables())
         at = 2
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG image")

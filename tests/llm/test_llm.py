@@ -97,6 +97,33 @@ def test_baseline_frames():
     assert got.shape == (14, 20) and (got == np.clip(np.rint(want) + 128, 0, 255)[:14, :20]).all()
 
 
+def test_frames_with_the_standard_tables():
+    """A frame without Huffman tables decodes as one that brings the standard's."""
+    dc, ac = media._codes(media.DC_COUNTS, media.DC_SYMBOLS), media._codes(media.AC_COUNTS, media.AC_SYMBOLS)
+    word = lambda c: format(c[0], f"0{c[1]}b")
+    bits = word(dc[3]) + "101" + word(ac[0x01]) + "1" + word(ac[0x12]) + "10" + word(ac[0])
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    seg = media._segment
+    start = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([3] * 64)) + seg(0xC0, struct.pack(">BHHB3B", 8, 8, 8, 1, 1, 0x11, 0))
+    tables = seg(0xC4, b"\0" + bytes(media.DC_COUNTS) + bytes(media.DC_SYMBOLS)) + seg(0xC4, b"\x10" + bytes(media.AC_COUNTS) + media.AC_SYMBOLS)
+    end = seg(0xDA, struct.pack(">B2B3B", 1, 1, 0, 0, 63, 0)) + scan + b"\xff\xd9"
+    plain, full = media.decode_frames([start + end, start + tables + end])
+    assert plain.shape == (8, 8) and (plain == full).all() and len(set(plain.ravel().tolist())) > 2
+
+
+def test_avi_of_several_parts_and_streams():
+    chunk = lambda tag, body: tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+    stream = lambda kind: chunk(b"LIST", b"strl" + chunk(b"strh", kind + bytes(52)))
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<14I", 50_000, *[0] * 13)) + stream(b"auds") + stream(b"vids") + stream(b"vids"))
+    movi = chunk(b"LIST", b"movi" + chunk(b"00wb", b"sound") + chunk(b"LIST", b"rec " + chunk(b"01dc", b"one") + chunk(b"02dc", b"other")) + chunk(b"01dc", b"two"))
+    more = chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + chunk(b"01dc", b"three") + chunk(b"01db", b"four")))
+    assert media.parse_avi(chunk(b"RIFF", b"AVI " + head + movi) + more) == (20.0, [b"one", b"two", b"three", b"four"])
+    indexed = media.write_avi([b"first", b"second"], 8, 8, 10)
+    assert media.parse_avi(indexed + more) == (10.0, [b"first", b"second"])
+    assert media.parse_avi(indexed + more.replace(b"01d", b"00d")) == (10.0, [b"first", b"second", b"three", b"four"])
+
+
 def test_shots_and_damage(spark):
     dark, light = np.zeros((24, 24), np.uint8), np.full((24, 24), 200, np.uint8)
     frames = media.encode_frames(np.stack([dark] * 6 + [light] * 4))
