@@ -34,32 +34,39 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EVEN_BITS = 0x55555555
 
 
-def fingerprint_block(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """The SimHash of each text as uint64; no words give zero."""
+def fingerprint_block(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int = SEED, most: int = 1 << 15) -> np.ndarray:
+    """The SimHash of each text as uint64; no words give zero. Bits of about ``most`` shingles are held at once, however long a text is."""
     digest = xxhash.xxh64_intdigest
+    counts, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), 64), np.int64)
     hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
+    owners: list[int] = []
+    starts: list[int] = []
+
+    def add_up() -> None:
+        bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8)).reshape(-1, 64)
+        sums[owners] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        for held in (hashes, owners, starts):
+            held.clear()
+
     for i, text in enumerate(texts):
         found = text.translate(_LOWER).split()
         if not found:
             continue
         line = b" ".join(found)
-        if len(found) <= words:
-            hashes.append(digest(line, seed))
-            counts[i] = 1
-            continue
         sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
         ends = np.cumsum(sizes)
-        begins = (ends - sizes)[: len(found) - words + 1].tolist()
-        hashes.extend([digest(line[s:e], seed) for s, e in zip(begins, (ends[words - 1 :] - 1).tolist(), strict=True)])
-        counts[i] = len(begins)
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8)).reshape(-1, 64)
-        sums = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(counts[full])[:-1]]), axis=0, dtype=np.int32)
-        out[full] = np.packbits(sums * 2 > counts[full][:, None], axis=1).view(">u8").ravel()
-    return out
+        n = max(1, len(found) - words + 1)
+        begins, ends = (ends - sizes)[:n], ends[-n:] - 1
+        counts[i] = n
+        for at in range(0, n, most):
+            owners.append(i)
+            starts.append(len(hashes))
+            hashes.extend([digest(line[s:e], seed) for s, e in zip(begins[at : at + most].tolist(), ends[at : at + most].tolist(), strict=True)])
+            if len(hashes) >= most:
+                add_up()
+    if hashes:
+        add_up()
+    return np.packbits(sums * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

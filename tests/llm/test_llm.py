@@ -530,6 +530,14 @@ def test_simhash_brute_force(spark, documents, odd, odd_rows, none):
     assert Counter(r.doc_id for r in simhash.keep_representatives(odd).collect())[5] <= 1
 
 
+def test_fingerprints_do_not_depend_on_how_many_shingles_are_held(odd_rows):
+    texts = [(t or "").encode() for _, t, *_ in odd_rows] + [b"", b" ", b"a", b"a b c d", b"a b c d e", b"x y z " * 5000]
+    whole = simhash.fingerprint_block(texts)
+    for most in (1, 7, 1000):
+        assert (simhash.fingerprint_block(texts, most=most) == whole).all()
+    assert len(simhash.fingerprint_block([])) == 0
+
+
 def test_representatives_of_clashing_ids(spark):
     random.seed(12)
     one, two, three = (" ".join(random.choice("abcdefghij") + str(random.randint(0, 999)) for _ in range(80)) for _ in range(3))
