@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import chat, idstore, licenses, media, quality, ring, sentencepiece_viterbi, simhash, token_counts, winnow
+from stratum.llm import chat, filter_audit, idstore, licenses, media, quality, ring, sentencepiece_viterbi, simhash, token_counts, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_preference_formatting": chat.op4_preference_formatting,
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_id_store": idstore.op9_token_id_store,
     "op6_benchmark_decontamination": winnow.op6_benchmark_decontamination,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op12_filter_interaction_audit": filter_audit.op12_filter_interaction_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_preference_formatting": chat.ORACLE_SQL,
     "op6_benchmark_decontamination": winnow.ORACLE_SQL,
+    "op12_filter_interaction_audit": filter_audit.ORACLE_SQL,
 }
