@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import chat, filter_audit, idstore, licenses, media, quality, ring, runs, sentencepiece_viterbi, simhash, token_counts, winnow
+from stratum.llm import chat, filter_audit, idstore, katz, licenses, media, quality, ring, runs, sentencepiece_viterbi, simhash, token_counts, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_preference_formatting": chat.op4_preference_formatting,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_id_store": idstore.op9_token_id_store,
     "op6_benchmark_decontamination": winnow.op6_benchmark_decontamination,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op11_katz_lm_scores": katz.op11_katz_lm_scores,
     "op13_periodic_runs": runs.op13_periodic_runs,
     "op12_filter_interaction_audit": filter_audit.op12_filter_interaction_audit,
 }
