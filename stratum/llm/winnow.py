@@ -7,10 +7,12 @@ is extended to both sides through the windows of ``span`` words that hold the fi
 looked up among the items' distinct windows, which know the items they stand in. So a hit costs
 ``span - k + 1`` lookups however often its words repeat in the document or the items, and no pairs of
 places are made. Longer shared spans are unions of such windows. An item of fewer words is a window of
-its own and is looked up whole, for each length that occurs. Found windows are compared byte for byte.
+its own and is looked up whole, for each length that occurs. Words are numbered by the items' vocabulary,
+byte for byte, and found windows are compared number by number, so no hash can lose or make a link.
 
-The items' index is sent to the workers in blocks of at most ``INDEX_BYTES`` of item text, so what is
-broadcast has a bound however large the benchmark is; the documents are read once for each block.
+The items that have words are sent to the workers in blocks of about ``INDEX_BYTES``, each item counted with its
+text, its id and ``ITEM_BYTES``, so what is broadcast has a bound however large the benchmark is and whatever
+its items are; the documents are read once for each block.
 """
 
 from __future__ import annotations
@@ -30,21 +32,13 @@ from stratum.sources.tables import table
 
 SPAN = 10
 GRAM = 5
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 8 << 20
+#: What an item costs besides its text and id.
+ITEM_BYTES = 64
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _WORD = np.array([b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
-_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_HAS_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 _STEPS = [(2 * i + 1) * 0xD1342543DE82EF95 % (1 << 64) | 1 for i in range(64)]
-_powers = {"n": 0}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _powers["up"], _powers["down"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,9 +48,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of many texts: their places in one buffer of lowered bytes, 64-bit hashes and the text of each."""
+    """The words of many texts as numbers: equal words, compared byte for byte, have one number, words that ``known`` lacks 0.
+
+    Without ``known`` all words are numbered from 1 on, and ``known`` is made.
+    """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], known: dict[bytes, int] | None = None):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         edges = np.concatenate([[0], np.cumsum(sizes)])
         raw = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
@@ -66,31 +63,30 @@ class Words:
         before[1:], after[:-1] = inside[:-1], inside[1:]
         before[edges[:-1][edges[:-1] < n]] = False
         after[edges[1:][edges[1:] > 0] - 1] = False
-        self.begins, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        self.text_of = np.searchsorted(edges, self.begins, "right") - 1
+        begins, lengths = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        lengths -= begins
+        self.text_of = np.searchsorted(edges, begins, "right") - 1
         self.counts = np.bincount(self.text_of, minlength=len(texts))
-        up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(raw * up[:n], out=sums[1:])
-        self.hashes = _mix((sums[self.ends] - sums[self.begins]) * down[self.begins] + (self.ends - self.begins).astype(np.uint64))
-        self.buffer = raw.tobytes()
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        packed = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
+        distinct = packed.dictionary.to_pylist()
+        self.known = {w: i + 1 for i, w in enumerate(distinct)} if known is None else known
+        self.codes = np.fromiter((self.known.get(w, 0) for w in distinct), np.int32, len(distinct))[packed.indices.to_numpy(zero_copy_only=False)]
 
-    def bytes_of(self, start: int, n: int) -> list[bytes]:
-        return [self.buffer[s:e] for s, e in zip(self.begins[start : start + n].tolist(), self.ends[start : start + n].tolist(), strict=True)]
-
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each place, and whether they are of one text."""
-        n = max(0, len(self.hashes) - k + 1)
+        n = max(0, len(self.codes) - k + 1)
+        mixed = _mix(self.codes.astype(np.uint64) + np.uint64(salt << 32))
         out = np.zeros(n, np.uint64)
         for j in range(k):
-            out += self.hashes[j : j + n] * np.uint64(_STEPS[j])
+            out += mixed[j : j + n] * np.uint64(_STEPS[j])
         return _mix(out), self.text_of[:n] == self.text_of[k - 1 : k - 1 + n]
 
     def winnowed(self, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the k-grams that are smallest in a window, the last of equals."""
         grams, _ = self.grams(k)
         width = span - k + 1
-        n = max(0, len(self.hashes) - span + 1)
+        n = max(0, len(self.codes) - span + 1)
         full = self.text_of[:n] == self.text_of[span - 1 : span - 1 + n]
         best, place = grams[:n].copy(), np.arange(n)
         for j in range(1, width):
@@ -103,42 +99,53 @@ class Words:
 
 
 class Windows:
-    """The distinct windows of one length of all items: sorted hashes, a place of each, and the set of items it stands in."""
+    """The distinct windows of one length of all items: sorted hashes, a place of each, and the set of items it stands in.
+
+    Windows are told apart by their words. Those whose hash another one has are in a further table by another hash.
+    """
 
-    def __init__(self, words: Words, length: int, places: np.ndarray):
-        self.length = length
-        hashes = words.grams(length)[0][places]
+    def __init__(self, words: Words, length: int, places: np.ndarray, salt: int = 0):
+        self.length, self.salt = length, salt
+        hashes = words.grams(length, salt)[0][places]
         order = np.argsort(hashes, kind="stable")
         places, hashes = places[order], hashes[order]
         fresh = np.ones(len(hashes), bool)
         fresh[1:] = hashes[1:] != hashes[:-1]
         self.hashes, self.places = hashes[fresh], places[fresh]
         window = np.cumsum(fresh) - 1
+        same = np.ones(len(places), bool)
         for j in range(length):
-            if (words.hashes[places + j] != words.hashes[self.places[window] + j]).any():
-                raise ValueError("two windows of other words have one hash")
-        pairs = np.unique(np.stack([window, words.text_of[places]], axis=1), axis=0)
+            same &= words.codes[places + j] == words.codes[self.places[window] + j]
+        self.further = None if same.all() else Windows(words, length, np.sort(places[~same]), salt + 1)
+        pairs = np.unique(np.stack([window, words.text_of[places]], axis=1)[same], axis=0)
         starts = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])) if len(pairs) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(pairs))
         sets: dict[bytes, int] = {}
-        self.sets: list[np.ndarray] = []
         self.set_of = np.zeros(len(self.hashes), np.int64)
-        for w, members in enumerate(np.split(pairs[:, 1], starts[1:]) if len(pairs) else ()):
-            at = sets.setdefault(members.tobytes(), len(sets))
-            if at == len(self.sets):
-                self.sets.append(members)
+        chosen, members = [], np.ascontiguousarray(pairs[:, 1])
+        for w, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            at = sets.setdefault(members[s:e].tobytes(), len(sets))
+            if at == len(chosen):
+                chosen.append((s, e))
             self.set_of[w] = at
+        self.set_ends = np.cumsum([0, *(e - s for s, e in chosen)])
+        self.members = np.concatenate([np.zeros(0, np.int64), *(members[s:e] for s, e in chosen)])
+
+    def items_of(self, which: int) -> list[int]:
+        return self.members[self.set_ends[which] : self.set_ends[which + 1]].tolist()
 
-    def find(self, items: Words, words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of places of whole windows in ``words``: those whose window is an item's, and which window."""
-        hashes = words.grams(self.length)[0][places]
+    def find(self, items: Words, words: Words, places: np.ndarray) -> Iterator[tuple[Windows, np.ndarray, np.ndarray]]:
+        """Of places of whole windows in ``words``: those whose window is an item's, and which window of which table."""
+        hashes = words.grams(self.length, self.salt)[0][places]
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        known = np.flatnonzero(self.hashes[at] == hashes)
-        places, at = places[known], at[known]
+        held = np.flatnonzero(self.hashes[at] == hashes)
+        found, at = places[held], at[held]
         for j in range(self.length):
-            same = words.hashes[places + j] == items.hashes[self.places[at] + j]
-            places, at = places[same], at[same]
-        equal = np.fromiter((words.bytes_of(p, self.length) == items.bytes_of(q, self.length) for p, q in zip(places.tolist(), self.places[at].tolist(), strict=True)), bool, len(places))
-        return places[equal], at[equal]
+            same = words.codes[found + j] == items.codes[self.places[at] + j]
+            found, at = found[same], at[same]
+        yield self, found, at
+        if self.further is not None:
+            yield from self.further.find(items, words, places)
 
 
 class Index:
@@ -148,6 +155,7 @@ class Index:
         self.k, self.span = k, span
         self.ids = [i for i, _ in items]
         self.words = Words([t for _, t in items])
+        self.known = self.words.known
         first = np.concatenate([[0], np.cumsum(self.words.counts)])
         self.fingerprints = np.unique(self.words.winnowed(k, span)[1])
         self.windows = []
@@ -164,12 +172,12 @@ class Index:
         at = np.minimum(np.searchsorted(self.fingerprints, hashes), len(self.fingerprints) - 1)
         places = places[self.fingerprints[at] == hashes]
         around = np.unique(places[:, None] - np.arange(self.span - self.k + 1))
-        around = around[(around >= 0) & (around <= len(words.hashes) - self.span)]
+        around = around[(around >= 0) & (around <= len(words.codes) - self.span)]
         return around[words.text_of[around] == words.text_of[around + self.span - 1]]
 
     def search(self, words: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
-        """Which words are hit, and the items of each text that has any."""
-        change, found = np.zeros(len(words.hashes) + 1, np.int64), {}
+        """Which words are hit, and the items of each text that has any. ``words`` are numbered by ``known``."""
+        change, found = np.zeros(len(words.codes) + 1, np.int64), {}
         for table_ in self.windows:
             m = table_.length
             if m == self.span:
@@ -178,11 +186,11 @@ class Index:
                 candidates = np.flatnonzero(words.grams(m)[1])
             if not len(candidates):
                 continue
-            places, which = table_.find(self.words, words, candidates)
-            np.add.at(change, places, 1)
-            np.add.at(change, places + m, -1)
-            for text, members in np.unique(np.stack([words.text_of[places], table_.set_of[which]], axis=1), axis=0).tolist():
-                found.setdefault(text, set()).update(table_.sets[members].tolist())
+            for held, places, which in table_.find(self.words, words, candidates):
+                np.add.at(change, places, 1)
+                np.add.at(change, places + m, -1)
+                for text, members in np.unique(np.stack([words.text_of[places], held.set_of[which]], axis=1), axis=0).tolist():
+                    found.setdefault(text, set()).update(held.items_of(members))
         return np.cumsum(change[:-1]) > 0, found
 
 
@@ -205,9 +213,10 @@ def _digest(ids: set[str]) -> str:
 
 
 def _item_blocks(items: DataFrame, most: int) -> tuple[int, Iterator[list[tuple[str | None, bytes]]]]:
-    """The distinct items with text in blocks of about ``most`` bytes, by a hash of both columns, each collected by itself, and how many blocks."""
-    chosen = settle(items.select(F.col("item_id").cast("string").alias("item_id"), F.encode(F.col("text"), "utf-8").alias("text")).where("text IS NOT NULL").distinct(), "items")
-    total = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
+    """The distinct items with words in blocks of about ``most`` bytes, by a hash of both columns, each collected by itself, and how many blocks."""
+    typed = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    chosen = settle(typed.where(F.col("text").rlike(_HAS_WORD)).withColumn("text", F.encode("text", "utf-8")).distinct(), "items")
+    total = chosen.agg(F.sum(F.length("text") + F.coalesce(F.length("item_id"), F.lit(0)) + ITEM_BYTES)).first()[0] or 0
     n = 1 if total <= most else int(2 * total // most) + 1
 
     def each() -> Iterator[list[tuple[str | None, bytes]]]:
@@ -229,7 +238,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index_of(name, shared)
         for part, texts in blocks(batches, "text"):
-            words = Words(texts)
+            words = Words(texts, index.known)
             hit, found = index.search(words)
             n_hit = np.bincount(words.text_of[hit], minlength=len(texts))
             ids = [{index.ids[j] for j in found.get(i, ())} - {None} for i in range(len(texts))]
@@ -246,7 +255,7 @@ def _scan_hits(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index_of(name, shared)
         for part, texts in blocks(batches, "text"):
-            words = Words(texts)
+            words = Words(texts, index.known)
             hit, found = index.search(words)
             first = np.concatenate([[0], np.cumsum(words.counts)])
             rows = sorted(found)
@@ -263,7 +272,7 @@ def _word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.array(Words(texts).counts)], ["doc_id", "key", "n_words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.array(Words(texts, {}).counts)], ["doc_id", "key", "n_words"])
 
     return map_arrow(_chosen(docs, id_col, text_col), run, "doc_id long, key string, n_words long")
 
@@ -301,7 +310,7 @@ def clean_only(docs: DataFrame, items: DataFrame, text_col: str = "text", index_
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             index = _index_of(name, shared)
             for rows, texts in blocks(batches, text_col):
-                words = Words(texts)
+                words = Words(texts, index.known)
                 hit, _ = index.search(words)
                 yield rows.filter(pa.array(np.bincount(words.text_of[hit], minlength=len(texts)) == 0))
 
