@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,8 @@ def terms_of(texts: list[bytes]) -> np.ndarray:
             out[i, _TRIGRAMS + base + min(15, int(value * 16))] = 0.3
         out[i, _TRIGRAMS + 48 + min(15, n.bit_length())] = 0.3
     words = Words(texts)
-    bucket = (words.hashes >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64)
+    # Words are numbered from 1 on in the order of ``known``.
+    bucket = np.fromiter((xxhash.xxh64_intdigest(w) % WORDS for w in words.known), np.int64, len(words.known))[words.codes - 1]
     counts = np.bincount(words.text_of * WORDS + bucket, minlength=len(texts) * WORDS).reshape(len(texts), WORDS)
     out[:, _TRIGRAMS + _EXTRA :] = WORD_WEIGHT * np.sqrt(counts / np.maximum(words.counts, 1)[:, None])
     return out
