@@ -1,7 +1,8 @@
 """Exact identifiers in text and what a question asks for, as SQL expressions of built-in functions.
 
 Each family's pattern finds its borders by captured characters, not by look-around, except where Spark
-alone uses it. Deviations: commands are back-quoted spans only; paths take a file's ending of letters first.
+alone uses it. Deviations: commands are back-quoted spans only (``operators/identifier_spans`` has them grown over words and
+parameters, with places); paths take a file's ending of letters first.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ _PATTERNS = {
     "version": r"(?:^|[^\p{L}\p{N}_.])([vV][0-9]+(?:\.[0-9]+){0,3}|[0-9]+(?:\.[0-9]+){1,3})(?:$|[^\p{L}\p{N}_.]|\.(?:$|[^0-9]))",
     "port": r"(?:[pP][oO][rR][tT] +|:)([0-9]{1,5})(?:$|[^\p{L}\p{N}_.]|\.(?:$|[^0-9]))",
     "error_code": r"(?:^|[^\p{L}\p{N}_])([A-Z]{1,6}[-_]?[0-9]{2,6}[A-Z]?)(?:$|[^\p{L}\p{N}_])",
-    "parameter": r"(?:^|[\s(\[`])(--[A-Za-z][A-Za-z0-9-]*|-[A-Za-z]|[A-Za-z_][A-Za-z0-9_]*=[^\s]+|\$[A-Za-z_][A-Za-z0-9_]*|\$\{[A-Za-z_][A-Za-z0-9_]*\})(?:$|[\s,;.)\]`=])",
+    "parameter": r"(?:^|[\s(\[`])(--[A-Za-z][A-Za-z0-9-]*|-[A-Za-z]|[A-Za-z_][A-Za-z0-9_]*=[^\s]+|\$[A-Za-z_][A-Za-z0-9_]*|\$\{[A-Za-z_][A-Za-z0-9_]*\})(?:$|[\s,;.!?)\]}`=])",
 }
 
 

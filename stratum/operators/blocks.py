@@ -211,9 +211,12 @@ def point_id(name: str, namespace: str) -> str:
 
 
 def arbitrate(candidates: DataFrame, key: str = "id") -> DataFrame:
-    """(key, family, start, end, value) of the identifiers that stand: by priority, then start, each that overlaps none taken before. A text's candidates are few and are folded."""
+    """(key, family, start, end, value) of the identifiers that stand: by priority, then start, each that overlaps none taken before. Only stretches of overlapping candidates are folded, whatever a text's length."""
+    place = Window.partitionBy(key).orderBy("start", "end")
+    apart = F.col("start") >= F.coalesce(F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    candidates = candidates.withColumn("__apart", apart).withColumn("__stretch", F.count_if("__apart").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     item = "struct<priority:int,start:bigint,end:bigint,family:string,value:string>"
-    listed = candidates.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("priority").cast("int").alias("priority"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "family", "value"))).alias("c"))
+    listed = candidates.groupBy(key, "__stretch").agg(F.array_sort(F.collect_list(F.struct(F.col("priority").cast("int").alias("priority"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "family", "value"))).alias("c"))
     fold = f"aggregate(c, cast(array() as array<{item}>), (s, x) -> if(exists(s, y -> x.start < y.end AND y.start < x.end), s, concat(s, array(x))))"
     return listed.select(key, F.explode(F.expr(fold)).alias("x")).select(key, "x.family", "x.start", "x.end", "x.value")
 
