@@ -55,7 +55,7 @@ def conflict_findings(facts: DataFrame, partition: list[str]) -> DataFrame:
     near-duplicate group). In a family with two values or more each candidate differs from some other, so all of it is
     connected; classes are what such families connect, and no pairs are made.
     """
-    held = facts.where("value IS NOT NULL").select(F.concat_ws("\x1f", *partition).alias("__p"), *partition, "candidate", "value", F.explode("families").alias("group"))
+    held = facts.where("value IS NOT NULL").select(F.to_json(F.struct(*partition)).alias("__p"), *partition, "candidate", "value", F.explode("families").alias("group"))
     split = held.groupBy("__p", "group").agg(F.countDistinct("value").alias("n")).where("n > 1").select("__p", "group")
     differing = settle(held.join(split, ["__p", "group"], "left_semi"), "facts")
     units = conflict_units(differing.select("__p", "group", F.col("candidate").alias("chunk_id")), "__p").withColumnRenamed("chunk_id", "candidate")
@@ -64,8 +64,8 @@ def conflict_findings(facts: DataFrame, partition: list[str]) -> DataFrame:
 
 def version_classes(candidates: DataFrame, query: str = "query_id") -> DataFrame:
     """(query, chunk_id, class): candidates (query, chunk_id, place, text, families: array) with the same text at the same place that families link, however long the chain; named by the smallest chunk."""
-    linked = candidates.select(query, "chunk_id", F.explode("families").alias("f"), F.sha2(F.concat_ws("\x1f", "place", "text"), 256).alias("h"))
-    return conflict_units(linked.select(query, "chunk_id", F.concat_ws("\x1f", "h", "f").alias("group")), query).withColumnRenamed("unit", "class")
+    linked = candidates.select(query, "chunk_id", F.explode("families").alias("f"), F.sha2(F.to_json(F.struct("place", "text")), 256).alias("h"))
+    return conflict_units(linked.select(query, "chunk_id", F.to_json(F.struct("h", "f")).alias("group")), query).withColumnRenamed("unit", "class")
 
 
 def collapsed_versions(candidates: DataFrame, query: str = "query_id") -> DataFrame:

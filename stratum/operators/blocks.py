@@ -162,7 +162,7 @@ def chunk_documents(parsed: DataFrame, packing: str = "section", close_at: int =
     Sections begin at headings; 0 is what comes before the first. A heading is context: its path, joined by `` > ``, goes with
     every chunk of its section. packing ``section``: all blocks of a section may share a chunk; ``container``: only neighbours of
     one kind. A block of over ``most`` words is cut after white space. small: chunks under it join the one before; None: they stay.
-    first and last are positions, chunk counts from 0 in a section.
+    first and last are positions, chunk counts from 0 in a section. Blocks without a document_id are those of one more document.
     """
     from stratum.operators.assembly import rerank_windows
     from stratum.operators.evidence import consecutive_groups, greedy_pack, heading_paths
@@ -177,13 +177,13 @@ def chunk_documents(parsed: DataFrame, packing: str = "section", close_at: int =
     paths = heading_paths(headings).select("document_id", "section", F.array_join("heading_path", " > ").alias("context"))
     units = rerank_windows(placed.where("kind <> 'heading'"), ["document_id", "section", "idea", "position"], "text", most)
     sized = units.withColumn("tokens", F.expr("size(filter(split(text, r'\\s+'), x -> x <> ''))"))
-    key = F.concat_ws("/", "document_id", "section", "idea")
-    keyed = sized.withColumns({"key": key, "at": F.col("position") * 100_000 + F.col("window")})
+    keyed = sized.withColumns({"key": F.struct("document_id", "section", "idea"), "at": F.shiftleft(F.col("position").cast("long"), 31) + F.col("window")})
     packed = greedy_pack(keyed, "key", "at", "tokens", close_at, most, small or 0)
-    parts = F.split("key", "/")
-    chunks = packed.select(parts[0].cast("long").alias("document_id"), parts[1].cast("long").alias("section"), parts[2].cast("long").alias("idea"), "chunk", F.floor(F.col("first") / 100_000).alias("first"), F.floor(F.col("last") / 100_000).alias("last"), "tokens")
+    chunks = packed.select("key.*", "chunk", F.shiftright("first", 31).alias("first"), F.shiftright("last", 31).alias("last"), "tokens")
     numbered = chunks.withColumn("chunk", F.row_number().over(Window.partitionBy("document_id", "section").orderBy("idea", "chunk")).cast("long") - 1)
-    return numbered.join(paths, ["document_id", "section"], "left").select("document_id", "section", "chunk", "first", "last", "tokens", F.coalesce("context", F.lit("")).alias("context"))
+    named = paths.withColumnsRenamed({"document_id": "__d", "section": "__s"})
+    same = F.col("document_id").eqNullSafe(F.col("__d")) & (F.col("section") == F.col("__s"))
+    return numbered.join(named, same, "left").select("document_id", "section", "chunk", "first", "last", "tokens", F.coalesce("context", F.lit("")).alias("context"))
 
 
 def finding_rollup(findings: DataFrame, key: str) -> DataFrame:

@@ -203,8 +203,8 @@ def delivery_score(questions: DataFrame, expected: DataFrame, anchors: DataFrame
     from stratum.operators.evidence import coverage
 
     asked = expected.join(questions.where("answerable AND credited").select("question_id"), "question_id", "left_semi")
-    keyed = asked.withColumns({"__key": F.concat_ws("/", "question_id", "revision_id"), "__id": F.expr("row_number() over (partition by question_id, revision_id order by start, end, section_id, component)")})
-    seen = anchors.withColumn("__key", F.concat_ws("/", "question_id", "revision_id"))
+    keyed = asked.withColumns({"__key": F.to_json(F.struct("question_id", "revision_id")), "__id": F.expr("row_number() over (partition by question_id, revision_id order by start, end, section_id, component)")})
+    seen = anchors.withColumn("__key", F.to_json(F.struct("question_id", "revision_id")))
     x, y = keyed.alias("x"), seen.alias("y")
     touch = F.col("x.section_id").isNull() | (F.col("x.section_id") == F.col("y.section_id")) | (F.greatest("x.start", "y.start") < F.least("x.end", "y.end"))
     hit = x.join(y, (F.col("x.__key") == F.col("y.__key")) & F.coalesce(touch, F.lit(False)), "left_semi").select("__key", "__id", F.lit(True).alias("hit"))

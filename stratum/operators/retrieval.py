@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stratum.functions.text import prompt_form
 from stratum.runtime import map_arrow, settle
@@ -38,6 +39,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Products of vectors and queries that are held at once: 64 MB.
+TILE_VALUES = 8 << 20
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 100_000) -> DataFrame:
     """(query_id, id, score, rank): exact cosine of each query with every vector; ties by id.
 
@@ -61,11 +66,12 @@ def _dense_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     asked = [(r.query_id, r.q) for r in queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("q")).where("q IS NOT NULL").toLocalIterator()]
     kinds = {n: vectors.schema["id"].dataType.simpleString() if n == "id" else queries.schema["query_id"].dataType.simpleString() for n in ("query_id", "id")}
-    shared = spark.sparkContext.broadcast(asked)
+    shared, key_type = spark.sparkContext.broadcast(asked), to_arrow_type(queries.schema["query_id"].dataType)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         by_size = {}
         for key, q in shared.value:
@@ -77,21 +83,28 @@ def _dense_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             good = norms > 0
             groups.append((size, [key for (key, _), g in zip(rows, good, strict=True) if g], (matrix[good] / norms[good, None]).T))
         for batch in batches:
-            vectors_ = batch.column(1).to_pylist()
+            # Lists as one flat buffer: a null list holds nothing, a null number is NaN.
+            column = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            begins = np.cumsum(sizes) - sizes
+            flat = column.flatten().to_numpy(zero_copy_only=False)
             for size, keys, matrix in groups:
-                at = np.array([i for i, v in enumerate(vectors_) if v is not None and len(v) == size], np.int64)
+                at = np.flatnonzero(sizes == size)
                 if not len(at) or not keys:
                     continue
-                rows = np.array([[np.nan if x is None else x for x in vectors_[i]] for i in at], float)
+                rows = flat[begins[at][:, None] + np.arange(size)].astype(float)
                 norms = np.linalg.norm(rows, axis=1)
                 at, rows, norms = at[norms > 0], rows[norms > 0], norms[norms > 0]
-                score = np.round(rows @ matrix / norms[:, None], 6)
-                score[np.isnan(score)] = -np.inf
                 if not len(at):
                     continue
-                least = np.partition(score, max(len(at) - k, 0), axis=0)[max(len(at) - k, 0)]
-                row, col = np.nonzero((score >= least) & (score > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array([keys[c] for c in col.tolist()]), batch.column(0).take(pa.array(at[row])), pa.array(score[row, col])], ["query_id", "id", "score"])
+                # As many queries at once as keep the products within a bound, whatever the batch.
+                width = max(1, TILE_VALUES // len(at))
+                for first in range(0, len(keys), width):
+                    score = np.round(rows @ matrix[:, first : first + width] / norms[:, None], 6)
+                    score[np.isnan(score)] = -np.inf
+                    least = np.partition(score, max(len(at) - k, 0), axis=0)[max(len(at) - k, 0)]
+                    row, col = np.nonzero((score >= least) & (score > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[first + c] for c in col.tolist()], key_type), batch.column(0).take(pa.array(at[row])), pa.array(score[row, col])], ["query_id", "id", "score"])
 
     best = map_arrow(vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v")), run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

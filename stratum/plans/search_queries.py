@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import identifiers, intent_guard
 from stratum.functions import text as T
-from stratum.operators import blocks, identifier_spans
+from stratum.operators import blocks, identifier_spans, vector_index
 from stratum.plans.registry import query
 from stratum.sources.tables import table
 
@@ -54,3 +54,14 @@ def identifier_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identifier_spans.spans(table(spark, sf_dir, "documents"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "value"))), lambda x: F.concat_ws(",", x["start"].cast("string"), x["end"].cast("string"), x["value"]))
     return blocks.arbitrate(found, "doc_id").groupBy("doc_id", "family").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+
+
+@query()
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every twentieth vector among all, through the index, each row with the recall of the whole search against the exact one."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    index = vector_index.build(vectors)
+    probes = vector_index.probes_for(index, vectors)
+    measured = vector_index.recall(index, vectors, asked, 10, probes).select("recall")
+    return vector_index.search(index, asked, 10, probes).crossJoin(F.broadcast(measured))
