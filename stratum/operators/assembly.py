@@ -31,7 +31,8 @@ def second_pass(first: DataFrame, second: DataFrame, least_score: float | None =
     """
     other = second.select("query_id", F.col("reranked").alias("__r"), F.col("candidates").alias("__n"))
     triggered = F.lit(True) if least_score is None else F.coalesce(F.col("top_score") < least_score, F.lit(True))
-    as_well = (F.col("__r") | ~F.col("reranked")) & ((F.col("__n") > 0) | (F.col("candidates") == 0))
+    # A missing second pass has no count, and stays out even where the first had nothing.
+    as_well = F.col("__n").isNotNull() & (F.col("__r") | ~F.col("reranked")) & ((F.col("__n") > 0) | (F.col("candidates") == 0))
     return first.join(other, "query_id", "left").select("query_id", triggered.alias("triggered"), F.when(triggered & F.coalesce(as_well, F.lit(False)), "second").otherwise("first").alias("kept"))
 
 

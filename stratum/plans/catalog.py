@@ -617,6 +617,6 @@ def revision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other modules of queries register theirs as they are imported.
-from stratum.plans import assembly_queries, document_queries, evaluation_queries, markdown_queries, search_queries, store_queries  # noqa: E402
+from stratum.plans import assembly_queries, document_queries, end_to_end, evaluation_queries, markdown_queries, search_queries, store_queries  # noqa: E402
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "assembly_queries", "document_queries", "evaluation_queries", "markdown_queries", "search_queries", "store_queries"]
