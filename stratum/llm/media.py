@@ -32,6 +32,8 @@ from stratum.sources.tables import table
 
 SIDE = 24
 FRAME_BYTES = SIDE * SIDE
+#: Samples whose frames are encoded or decoded at once; a sample takes about 120 bytes of arrays.
+SLICE_SAMPLES = 1 << 20
 FPS = 25
 BINS = 16
 HISTORY, SIGMAS, FLOOR = 8, 3.0, 0.15
@@ -83,8 +85,18 @@ def _frame_head(width: int, height: int) -> bytes:
     )
 
 
+def _slices(n: int, samples: int) -> Iterator[slice]:
+    """Frames of ``samples`` each, in slices of about SLICE_SAMPLES: frames don't depend on one another, so a long file takes no more memory for its arrays than a short one."""
+    step = max(1, SLICE_SAMPLES // max(samples, 1))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
 def encode_frames(frames: np.ndarray) -> list[bytes]:
     """Lossless JPEG of 8-bit frames [frame, row, column]."""
+    return [coded for at in _slices(len(frames), frames[0].size if len(frames) else 0) for coded in _encode_slice(frames[at])]
+
+
+def _encode_slice(frames: np.ndarray) -> list[bytes]:
     n, height, width = frames.shape
     x = frames.astype(np.int16)
     diff = np.empty_like(x)
@@ -345,16 +357,18 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray | None]:
         except (ValueError, IndexError, KeyError):
             continue
         decode = _lossless if head.lossless else _baseline
-        scans = [frames[i][len(raw) : -2] for i in members]
-        try:
-            for i, x in zip(members, decode(head, _Bits(scans), len(members)), strict=True):
-                out[i] = x
-        except (ValueError, KeyError):
-            for i, scan in zip(members, scans, strict=True):  # one of them is damaged: each by itself
-                try:
-                    out[i] = decode(head, _Bits([scan]), 1)[0]
-                except (ValueError, KeyError):
-                    continue
+        for at in _slices(len(members), head.width * head.height):
+            held = members[at]
+            scans = [frames[i][len(raw) : -2] for i in held]
+            try:
+                for i, x in zip(held, decode(head, _Bits(scans), len(held)), strict=True):
+                    out[i] = x
+            except (ValueError, KeyError):
+                for i, scan in zip(held, scans, strict=True):  # one of them is damaged: each by itself
+                    try:
+                        out[i] = decode(head, _Bits([scan]), 1)[0]
+                    except (ValueError, KeyError):
+                        continue
     return out
 
 

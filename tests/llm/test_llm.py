@@ -8,6 +8,7 @@ import re
 import shutil
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -50,6 +51,21 @@ def test_lossless_frames_of_noise_and_extremes():
     assert all((a == b).all() for a, b in zip(media.decode_frames(media.encode_frames(frames)), frames, strict=True))
 
 
+def test_long_files_are_coded_in_slices():
+    frames = np.random.default_rng(1).integers(0, 256, (14_000, 24, 24)).astype(np.uint8)
+    tracemalloc.start()
+    coded = media.encode_frames(frames)
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20  # 120 bytes a sample would be 970 MB
+    tracemalloc.reset_peak()
+    got = media.decode_frames([*coded[:4000], b"", *coded[4000:]])
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    tracemalloc.stop()
+    assert got[4000] is None
+    assert all((a == b).all() for a, b in zip(got[:4000] + got[4001:], frames, strict=True))
+    assert media.encode_frames(frames[1000:1002]) == coded[1000:1002]
+    assert media.encode_frames(frames[:0]) == []
+
+
 def baseline_jpeg(blocks: np.ndarray, width: int, height: int) -> bytes:
     """A tiny baseline encoder for the test: quantised coefficients [block, 64] in scan order, a table of 8-bit codes."""
     symbols = sorted({0, 0xF0} | {(r << 4) | s for r in range(16) for s in range(1, 11)})
