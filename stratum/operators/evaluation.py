@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.runtime import map_arrow
+from stratum.operators.numbering import numbered
+from stratum.runtime import settle
 
 RESAMPLES = 2000
 #: Rank discounts 1 / log2(rank + 1) of the first ten ranks.
@@ -87,67 +89,77 @@ def paired(first: DataFrame, second: DataFrame, metric: str) -> DataFrame:
     return joined.select("question_id", (F.col("b") - F.col("a")).alias("difference"))
 
 
-def _resamples(values: DataFrame, columns: list[str], stratum: str, order: str, seed: int, resamples: int, most: int) -> tuple[list[list], DataFrame]:
-    """The items by stratum, and (resample, totals) of each resample: the columns' sums over what it draws.
+#: Items of a stratum that one task holds, and resamples that it makes of them.
+ITEM_BLOCK, RESAMPLE_BLOCK, DRAW_SLICE = 1 << 18, 250, 1 << 20
 
-    Draws are those of one SplitMix64 sequence: the state grows by a constant a draw, so a resample may
-    start where it would be reached and resamples are independent tasks. The items of a suite are
-    collected and broadcast; over ``most`` are refused.
+
+def _slots(values: DataFrame, columns: list[str], stratum: str, order: str) -> DataFrame:
+    """(stratum, begin, size, total, block, at, columns) of each item: its place in its stratum, which begins at ``begin`` in the order of all ``total`` items. A written table; items with a null value are left out."""
+    rows = values.select(F.col(stratum).alias("stratum"), F.col(order).alias("__o"), *(F.col(c).cast("double").alias(f"__{c}") for c in columns)).dropna(subset=[f"__{c}" for c in columns])
+    placed = settle(numbered(rows, ["stratum", "__o"], "pos"), "items")
+    strata = placed.groupBy("stratum").agg(F.min("pos").alias("begin"), F.count(F.lit(1)).alias("size")).alias("s")
+    total = placed.agg(F.count(F.lit(1)).alias("total"))
+    sized = placed.alias("p").join(strata, F.col("p.stratum").eqNullSafe(F.col("s.stratum"))).crossJoin(F.broadcast(total))
+    at = F.col("pos") - F.col("begin")
+    return sized.select("begin", "size", "total", F.floor(at / ITEM_BLOCK).alias("block"), at.alias("at"), *(f"__{c}" for c in columns))
+
+
+def _resamples(slots: DataFrame, columns: list[str], seed: int, resamples: int) -> DataFrame:
+    """(resample, t0, t1, ...): each column's sum over what the resample draws.
+
+    Draws are those of one SplitMix64 sequence over the items in order: the state grows by a constant a draw, so any part of a
+    resample may start where it would be reached. A task has one block of a stratum's items and some of the resamples; it
+    makes the stratum's draws in slices and adds up those that fall into its block. Sums of blocks are added up by resample.
     """
-    spark: SparkSession = values.sparkSession
-    rows = values.select(stratum, order, *(F.col(c).cast("double").alias(f"__{c}") for c in columns)).orderBy(stratum, order).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} values")
-    strata: list[list] = []
-    last = object()
-    for r in rows:
-        if r[stratum] != last:
-            strata.append([])
-            last = r[stratum]
-        strata[-1].append([r[f"__{c}"] for c in columns])
-    n = len(rows)
-
-    def run(batches):
+    names = [f"t{i}" for i in range(len(columns))]
+    parts = slots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-resamples // RESAMPLE_BLOCK) - 1)))))
+
+    def run(frame):
         import numpy as np
-        import pyarrow as pa
+        import pandas as pd
 
         gamma, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
-        arrays = [np.array(s) for s in strata]
-        for batch in batches:
-            out = []
-            for r in batch.column(0).to_pylist():
-                state = np.uint64((seed + r * n * gamma) & mask) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(gamma)
+        frame = frame.sort_values("at")
+        begin, size, total, part, first = (int(frame[c].iloc[0]) for c in ("begin", "size", "total", "part", "at"))
+        held = frame[[f"__{c}" for c in columns]].to_numpy(float)
+        low_word, m = np.uint64(0xFFFFFFFF), np.uint64(size)
+        out = []
+        for r in range(part * RESAMPLE_BLOCK, min((part + 1) * RESAMPLE_BLOCK, resamples)):
+            sums = np.zeros(len(columns))
+            for start in range(0, size, DRAW_SLICE):
+                count = min(DRAW_SLICE, size - start)
+                state = np.uint64((seed + (r * total + begin + start) * gamma) & mask) + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(gamma)
                 z = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 z ^= z >> np.uint64(31)
-                total, at = np.zeros(len(columns)), 0
-                for a in arrays:
-                    # High word of draw * size, in two halves of 32 bits.
-                    d, m = z[at : at + len(a)], np.uint64(len(a))
-                    low = (d & np.uint64(0xFFFFFFFF)) * m
-                    high = (d >> np.uint64(32)) * m + (low >> np.uint64(32))
-                    total += a[(high >> np.uint64(32)).astype(np.int64)].sum(axis=0)
-                    at += len(a)
-                out.append(total.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["resample", "totals"])
-
-    return strata, map_arrow(spark.range(resamples if n else 0).withColumnRenamed("id", "resample"), run, "resample long, totals array<double>")
-
-
-def _interval(values: DataFrame, columns: list[str], statistic: Column, name: str, stratum: str, order: str, seed: int, resamples: int, most: int) -> DataFrame:
-    """(name, low, high): the statistic of all items' totals, and its 2.5 and 97.5 nearest-rank percentiles over the resamples that have one. No items, no row."""
-    strata, drawn = _resamples(values, columns, stratum, order, seed, resamples, most)
-    if not strata:
-        return values.sparkSession.createDataFrame([], f"{name} double, low double, high double")
-    observed = values.sparkSession.createDataFrame([([sum(r[k] for s in strata for r in s) for k in range(len(columns))],)], "totals array<double>").select(statistic.alias(name))
-    edges = drawn.select(statistic.alias("__s")).agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __s)").alias(c) for p, c in ((0.025, "low"), (0.975, "high"))))
-    return observed.crossJoin(edges)
-
-
-def bootstrap_interval(values: DataFrame, value: str, stratum: str, order: str, seed: int, resamples: int = RESAMPLES, most: int = 1_000_000) -> DataFrame:
+                # High word of draw * size, in two halves of 32 bits.
+                high = (z >> np.uint64(32)) * m + (((z & low_word) * m) >> np.uint64(32))
+                drawn = (high >> np.uint64(32)).astype(np.int64) - first
+                sums += held[drawn[(drawn >= 0) & (drawn < len(held))]].sum(axis=0)
+            out.append((r, *sums))
+        return pd.DataFrame(out, columns=["resample", *names])
+
+    each = parts.groupBy("begin", "block", "part").applyInPandas(run, ", ".join(["resample long", *(f"{n} double" for n in names)]))
+    return each.groupBy("resample").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _interval(values: DataFrame, columns: list[str], statistic: Callable, name: str, stratum: str, order: str, seed: int, resamples: int) -> DataFrame:
+    """(name, low, high): the statistic of all items' totals, and its 2.5 and 97.5 nearest-rank percentiles over the resamples that have one. No items, no row. statistic takes the totals' columns."""
+    slots = settle(_slots(values, columns, stratum, order), "slots")
+    totals = [F.col(f"t{i}") for i in range(len(columns))]
+    observed = slots.agg(*(F.sum(f"__{c}").alias(f"t{i}") for i, c in enumerate(columns)), F.count(F.lit(1)).alias("__n")).where("__n > 0").select(statistic(*totals).alias(name))
+    drawn = _resamples(slots, columns, seed, resamples).select(statistic(*totals).alias("__s"))
+    edges = drawn.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY __s)").alias(c) for p, c in ((0.025, "low"), (0.975, "high"))))
+    return observed.crossJoin(F.broadcast(edges))
+
+
+def _mean(n: Column, total: Column) -> Column:
+    return F.try_divide(total, n)
+
+
+def bootstrap_interval(values: DataFrame, value: str, stratum: str, order: str, seed: int, resamples: int = RESAMPLES) -> DataFrame:
     """(mean, low, high) of a stratified bootstrap: the mean, and the 2.5 and 97.5 nearest-rank percentiles of the resamples' means."""
-    mean = F.try_divide(F.col("totals")[1], F.col("totals")[0])
-    return _interval(values.withColumn("__n", F.lit(1)), ["__n", value], mean, "mean", stratum, order, seed, resamples, most)
+    return _interval(values.withColumn("__n", F.lit(1)), ["__n", value], _mean, "mean", stratum, order, seed, resamples)
 
 
 def clusters(attempts: DataFrame, value: str, covered: Column, key: str = "question_id") -> DataFrame:
@@ -157,21 +169,19 @@ def clusters(attempts: DataFrame, value: str, covered: Column, key: str = "quest
     return each.where(F.col("__any") > 0).drop("__any")
 
 
-def cluster_bootstrap(attempts: DataFrame, value: str, covered: Column, seed: int, key: str = "question_id", resamples: int = RESAMPLES, most: int = 1_000_000) -> DataFrame:
+def cluster_bootstrap(attempts: DataFrame, value: str, covered: Column, seed: int, key: str = "question_id", resamples: int = RESAMPLES) -> DataFrame:
     """(mean, low, high) over attempts, where a resample draws questions and keeps each one's attempts together. covered: the attempts that the metric is about."""
-    mean = F.try_divide(F.col("totals")[1], F.col("totals")[0])
-    return _interval(clusters(attempts, value, covered, key), ["n", "total"], mean, "mean", "stratum", key, seed, resamples, most)
+    return _interval(clusters(attempts, value, covered, key), ["n", "total"], _mean, "mean", "stratum", key, seed, resamples)
 
 
-def paired_bootstrap(baseline: DataFrame, candidate: DataFrame, value: str, covered: Column, seed: int, key: str = "question_id", resamples: int = RESAMPLES, most: int = 1_000_000) -> DataFrame:
+def paired_bootstrap(baseline: DataFrame, candidate: DataFrame, value: str, covered: Column, seed: int, key: str = "question_id", resamples: int = RESAMPLES) -> DataFrame:
     """(difference, low, high): the candidate's mean less the baseline's, both of the same resampled questions. A question that only one run has, or that they disagree on being answerable, is an error."""
     a = clusters(baseline, value, covered, key).toDF(key, "stratum", "n_a", "total_a")
     b = clusters(candidate, value, covered, key).toDF(key, "stratum_b", "n_b", "total_b")
     both = a.join(b, key, "full")
     if not both.where("stratum IS NULL OR stratum_b IS NULL OR stratum <> stratum_b").isEmpty():
         raise ValueError("the runs' questions differ")
-    t = F.col("totals")
-    return _interval(both, ["n_a", "total_a", "n_b", "total_b"], F.try_divide(t[3], t[2]) - F.try_divide(t[1], t[0]), "difference", "stratum", key, seed, resamples, most)
+    return _interval(both, ["n_a", "total_a", "n_b", "total_b"], lambda n_a, a, n_b, b: _mean(n_b, b) - _mean(n_a, a), "difference", "stratum", key, seed, resamples)
 
 
 def answer_metrics(results: DataFrame) -> DataFrame:
