@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.runtime import map_arrow, settle, spread
+from stratum.operators.numbering import looked_up
+from stratum.runtime import discard, map_arrow, settle, spread
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 85
 #: Members of a bucket that meet in one cell.
@@ -19,9 +20,10 @@ def exact_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, representative) of every row, by a window over the digest: no join back."""
-    w = Window.partitionBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return docs.select(F.col(id_col).alias("id"), F.min(id_col).over(w).alias("representative"))
+    """(id, representative) of every row. Texts with copies give one row each, which their rows look up; the copies of one text don't meet in a task."""
+    held = settle(docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest")), "digests")
+    copied = held.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least")
+    return looked_up(held, "digest", copied).select("id", F.coalesce("least", "id").alias("representative"))
 
 
 def shingles(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE) -> DataFrame:
@@ -127,10 +129,11 @@ def groups(pairs: DataFrame) -> DataFrame:
     while True:
         labels = settle(labels, "labels")
         other = labels.select(F.col("x").alias("y"), F.col("root").alias("other"))
-        seen = both.select("x", "y").join(other, "y").groupBy("x").agg(F.min("other").alias("m"))
-        step = labels.join(seen, "x").select("x", F.least("root", "m").alias("near"), "root")
+        seen = looked_up(both.select("x", "y"), "y", other).groupBy("x").agg(F.min("other").alias("m"))
+        step = settle(labels.join(seen, "x").select("x", F.least("root", "m").alias("near"), "root"), "steps")
         jump = labels.select(F.col("x").alias("near"), F.col("root").alias("far"))
-        after = settle(step.join(jump, "near", "left").select("x", F.least("near", F.coalesce("far", "near")).alias("root"), F.col("root").alias("was")), "labels")
+        after = settle(looked_up(step, "near", jump).select("x", F.least("near", F.coalesce("far", "near")).alias("root"), F.col("root").alias("was")), "labels")
+        discard(labels, step)
         labels = after.select("x", "root")
         if after.where("root <> was").isEmpty():
             break

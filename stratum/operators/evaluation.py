@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.operators.numbering import numbered
-from stratum.runtime import settle
+from stratum.runtime import settle, ship
 
 RESAMPLES = 2000
 #: Rank discounts 1 / log2(rank + 1) of the first ten ranks.
@@ -139,6 +139,7 @@ def _resamples(slots: DataFrame, columns: list[str], seed: int, resamples: int)
             out.append((r, *sums))
         return pd.DataFrame(out, columns=["resample", *names])
 
+    ship(slots.sparkSession)
     each = parts.groupBy("begin", "block", "part").applyInPandas(run, ", ".join(["resample long", *(f"{n} double" for n in names)]))
     return each.groupBy("resample").agg(*(F.sum(n).alias(n) for n in names))
 

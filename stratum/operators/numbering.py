@@ -11,18 +11,24 @@ from stratum.runtime import settle
 HOT_SHARE, HOT_LEAST = 256, 4096
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds ``name``: the row's place from 0 among all rows in ``order``, nulls first; equal rows in any order.
+def numbered(rows: DataFrame, order: list[str], name: str, by: str | None = None) -> DataFrame:
+    """Adds ``name``: the row's place from 0 in ``order`` among all rows, or among those with its ``by``; nulls first and a group too, equal rows in any order.
 
-    Rows are dealt into sorted ranges and written with their range, so that a lost task can't deal them again in another way;
-    a row's number is its place in its range and the rows of the ranges before.
+    Rows are dealt into sorted ranges and written with their range, so that a lost task can't deal them again in another way.
+    A row's number is its place in its range and its group's rows in the ranges before; a range has at most one group that
+    began before it, so these are a row a range.
     """
-    ranged = settle(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    # One row a range.
-    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranged.withColumn("__place", place).join(F.broadcast(before), "__range").withColumn(name, F.col("__place") + F.col("__before")).drop("__range", "__place", "__before")
+    keys = [] if by is None else [by]
+    ranged = settle(rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("__range", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__n")).where("__before > 0")
+    held = before.select(F.col("__range").alias("__r"), *(F.col(k).alias("__k") for k in keys), "__before")
+    same = F.col("__range") == F.col("__r")
+    if keys:
+        same = same & F.col(by).eqNullSafe(F.col("__k"))
+    place = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order)) - 1
+    out = ranged.withColumn("__place", place).join(F.broadcast(held), same, "left")
+    return out.withColumn(name, F.col("__place") + F.coalesce("__before", F.lit(0))).drop("__range", "__place", "__before", "__r", "__k")
 
 
 def looked_up(facts: DataFrame, key: str, dims: DataFrame) -> DataFrame:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratum.operators.numbering import numbered
+
 #: Allowed steps of a job and of a generation.
 JOB_STEPS = {("queued", "running"), ("running", "succeeded"), ("running", "failed"), ("queued", "cancelled"), ("running", "cancelled"), ("running", "queued")}
 GENERATION_STEPS = {("building", "verified"), ("verified", "published"), ("published", "retired"), ("building", "failed"), ("verified", "failed"), ("retired", "published")}
 
 
 def sequenced(events: DataFrame, stream: str, order: list[str], start: DataFrame | None = None) -> DataFrame:
-    """Adds ``sequence``: gap-free from 1 in each stream, or from after ``start`` (stream, last)."""
-    numbered = events.withColumn("sequence", F.row_number().over(Window.partitionBy(stream).orderBy(*order)).cast("long"))
+    """Adds ``sequence``: gap-free from 1 in each stream, or from after ``start`` (stream, last). A stream of any length is numbered in ranges."""
+    held = numbered(events, order, "sequence", by=stream).withColumn("sequence", F.col("sequence").cast("long") + 1)
     if start is None:
-        return numbered
-    return numbered.join(start.select(stream, "last"), stream, "left").withColumn("sequence", F.col("sequence") + F.coalesce("last", F.lit(0))).drop("last")
+        return held
+    return held.join(start.select(stream, "last"), stream, "left").withColumn("sequence", F.col("sequence") + F.coalesce("last", F.lit(0))).drop("last")
 
 
 def last_sequences(journal: DataFrame, stream: str) -> DataFrame:
