@@ -74,9 +74,14 @@ def heading_paths(headings: DataFrame, document: str = "document_id") -> DataFra
     return out.withColumn("heading_path", F.filter(F.array(*parts), lambda x: x.isNotNull())).drop(*(f"__l{n}" for n in range(1, 7)))
 
 
-def deepest_section(spans: DataFrame, sections: DataFrame, key: str = "document_id") -> DataFrame:
-    """(span_id, section_id): of the sections that hold a span the one that starts last, then ends first; null if none does."""
-    held = spans.join(sections, key).where("section_start <= start AND end <= section_end")
+def deepest_section(spans: DataFrame, sections: DataFrame, key: str = "document_id", width: int = 4096) -> DataFrame:
+    """(span_id, section_id): of the sections that hold a span the one that starts last, then ends first; null if none does.
+
+    A section that holds a span holds its start, so sections stand in all their bins of ``width`` and a span in one: a span meets
+    the sections about it, not all of its document.
+    """
+    binned = sections.where("section_start <= section_end").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("section_start") / width), F.floor(F.col("section_end") / width))))
+    held = spans.withColumn("__bin", F.floor(F.col("start") / width)).join(binned, [key, "__bin"]).where("section_start <= start AND end <= section_end")
     best = held.groupBy("span_id").agg(F.min(F.struct((-F.col("section_start")).alias("a"), F.col("section_end").alias("b"), "section_id"))["section_id"].alias("section_id"))
     return spans.join(best, "span_id", "left").select("span_id", "section_id")
 
