@@ -47,9 +47,10 @@ def left_out(revisions: DataFrame, document: str = "document_id", order: str = "
 
 
 def text_metadata(column: str, key: str) -> Column:
-    """A JSON object's value where it is text; numbers, booleans and the rest count as missing."""
-    value = F.expr(f"try_variant_get(try_parse_json({column}), '$.{key}')")
-    return F.when(F.schema_of_variant(value) == "STRING", F.expr(f"try_variant_get(try_parse_json({column}), '$.{key}', 'string')"))
+    """A JSON object's value where it is text; numbers, booleans and the rest count as missing. The key is looked up as it is, so it may hold dots and quotes."""
+    members = F.expr(f"try_variant_get(try_parse_json({column}), '$', 'map<string, variant>')")
+    value = F.try_element_at(members, F.lit(key))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def matches_or_any(column: Column, wanted: str | None) -> Column:

@@ -179,6 +179,13 @@ def test_text_metadata_is_text_only(spark):
     assert [r[0] for r in rows.select(inventory.text_metadata("m", "v")).collect()] == ["1", None, None, None, None]
 
 
+@pytest.mark.parametrize("key", ["v.w", "it's", 'a "b"', """both ' and \" of [0]""", "é $", ""])
+def test_text_metadata_of_any_key(spark, key):
+    texts = [json.dumps({key: "x", "v": {"w": "no"}}), json.dumps({key: 1}), json.dumps([key]), "{}", "{", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, m string")
+    assert [r[0] for r in rows.orderBy("i").select(inventory.text_metadata("m", key)).collect()] == ["x", None, None, None, None, None]
+
+
 def test_literal_containment(spark):
     rows = spark.createDataFrame([("use v1.2.", "v1.2"), ("use v1.2.3", "v1.2"), ("x/a.conf", "a.conf"), ("(a.conf)", "a.conf")], "t string, a string")
     assert [r[0] for r in rows.select(inventory.has_literal("t", "a")).collect()] == [True, False, False, True]
