@@ -108,7 +108,7 @@ def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     )
     stars = settle(stars)
     own = components(stars).select(F.col("node").alias("fp"), F.col("component").alias("own"))
-    labelled = settle(nodes.join(own, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own")))
+    labelled = settle(nodes.join(own, "fp", "left").select("fp", F.coalesce("own", "fp").alias("own")), most=nodes.count())
     mixed = (
         _with_cells(labelled)
         .withColumn("lowest", F.min("own").over(cell))
@@ -135,11 +135,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp, root, component_id) of every row; root tells components apart whose smallest ids are the same."""
     rows = settle(fingerprints(docs, id_col, text_col))
-    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), most=rows.count())
+    n_nodes = nodes.count()
     found = components(links(nodes.select("fp"), most)).withColumnsRenamed({"node": "fp", "component": "root"})
-    joined = settle(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = settle(joined.groupBy("root").agg(F.min("least").alias("component_id")))
-    dims = settle(looked_up(joined.select("fp", "root"), "root", least, "root").select("fp", "root", "component_id"))
+    joined = settle(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), most=n_nodes)
+    least = settle(joined.groupBy("root").agg(F.min("least").alias("component_id")), most=n_nodes)
+    dims = settle(looked_up(joined.select("fp", "root"), "root", least, "root").select("fp", "root", "component_id"), most=n_nodes)
     discard(joined, least)
     return looked_up(rows, "fp", dims, "fp").select("doc_id", "fp", "root", "component_id")
 

@@ -582,6 +582,36 @@ def test_components_of_a_path_and_nothing(spark):
     assert components(path.limit(0)).count() == 0
 
 
+def test_tables_of_components_have_as_many_files_as_their_rows_need(spark, monkeypatch):
+    """A file for each of a shuffle's partitions makes thousands of files of a few rows, each with programs started by the executor."""
+    import stratum.llm.components
+    from stratum import runtime
+
+    seen = []
+
+    def counted(*args, **kwargs):
+        out = runtime.settle(*args, **kwargs)
+        seen.append((out.count(), len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(stratum.llm.components, "settle", counted)
+    monkeypatch.setattr(runtime, "FILE_ROWS", 50, raising=False)
+    random.seed(13)
+    order = random.sample(range(60), 60)
+    edges = list(zip(order, order[1:], strict=False)) + [(200, k) for k in range(300, 400)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == {k: 0 for k in range(60)} | {k: 200 for k in (200, *range(300, 400))}
+    # The first table's rows are not known before; of a later one at most twice the edges can come.
+    assert seen[0] == (159, 16) and len(seen) > 3 and all(files <= 7 for _, files in seen[1:]) and any(files > 1 for _, files in seen[1:])
+
+
 def test_join_to_one_keeps_hot_keys_without_a_row(spark):
     facts = spark.createDataFrame([("h", k) for k in range(50)] + [("x", 1), (None, 2)], "k string, v int")
     counts = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
