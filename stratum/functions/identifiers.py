@@ -21,6 +21,16 @@ _PATTERNS = {
     "parameter": r"(?:^|[\s(\[`])(--[A-Za-z][A-Za-z0-9-]*|-[A-Za-z]|[A-Za-z_][A-Za-z0-9_]*=[^\s]+|\$[A-Za-z_][A-Za-z0-9_]*|\$\{[A-Za-z_][A-Za-z0-9_]*\})(?:$|[\s,;.!?)\]}`=])",
 }
 
+# What a text with one of a family's identifiers has in it: found by one pass, so most texts are not searched further.
+_SIGNS = {
+    "command": r"`",
+    "path": r"[/\\]|[\p{L}\p{N}_-]\.[A-Za-z]",
+    "version": r"[vV][0-9]|[0-9]\.[0-9]",
+    "port": r"[tT] +[0-9]|:[0-9]",
+    "error_code": r"[A-Z][-_]?[0-9]{2}",
+    "parameter": r"(?:^|[\s(\[`])--?[A-Za-z]|=|\$",
+}
+
 
 def found(x: str, family: str, d: Dialect = SPARK) -> str:
     """A family's identifiers, in order."""
@@ -31,7 +41,7 @@ def found(x: str, family: str, d: Dialect = SPARK) -> str:
         out = d.only(d.each(out, "p", d.replace("p", r"[,.;!?)\]}]+$", "")), "p", "p <> ''")
     if family == "port":
         out = d.only(out, "p", "cast(p as int) BETWEEN 1 AND 65535")
-    return out
+    return f"CASE WHEN NOT {d.matches(x, _SIGNS[family])} THEN cast(array() as array<string>) ELSE {out} END" if d.spark else out
 
 
 def index_identifiers(x: str, d: Dialect = SPARK) -> str:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import text as T
-from stratum.runtime import settle, spread
+from stratum.runtime import map_arrow, settle, spread
 
 #: Terms of all queries that may be sent to every executor.
 MOST_BROADCAST = 1_000_000
+#: Rows of best passages that tasks may give without a floor, and the share of passages from which floors are taken.
+MOST_UNBOUNDED, FLOOR_SHARE = 4_000_000, 4
 
 
 def as_terms(tokens: DataFrame, token: str) -> DataFrame:
@@ -57,22 +63,120 @@ def sparse_vectors(frequencies: DataFrame, average: DataFrame) -> DataFrame:
 def bm25_topk(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 10) -> DataFrame:
     """(query_id, id, score, rank): the k best passages of each query; each distinct query term counts once; ties by id.
 
-    Passages are analysed once and written, a row each. The queries' terms with their weights are broadcast if there are at
-    most ``MOST_BROADCAST`` of them. Passages are dealt out by id, so a passage's scores add up where it lies, and each task
-    keeps its best of a query before these are brought together.
+    Passages are analysed once and written, a row each. The queries' terms with their weights are sent to all workers, in
+    blocks by a hash of query_id where there are over ``MOST_BROADCAST`` of them, each block's result a table of its own.
     """
     wanted = settle(term_frequencies(queries, query_id, query_text).select(F.col("id").alias("query_id"), "term"), "query-terms")
-    small = wanted.count() <= MOST_BROADCAST
-    hint = F.broadcast if small else (lambda df: df)
     listed = term_frequencies(passages, id_col, text_col).groupBy("id").agg(F.max("length").alias("length"), F.collect_list(F.struct("term", "tf")).alias("terms"))
     held = settle(listed, "frequencies")
     terms = held.agg(F.sum("length").alias("terms"))
     average = passages.agg(F.count(F.lit(1)).alias("passages")).crossJoin(terms).select("passages", F.coalesce(F.try_divide(F.col("terms").cast("double"), "passages"), F.lit(0.0)).alias("average_length"))
+    average = settle(average, "average", 1)
+    n = wanted.count()
     asked = wanted.select("term").distinct()
-    relevant = held.select(F.explode("terms.term").alias("term")).join(hint(asked), "term", "left_semi")
-    weighted = wanted.join(term_statistics(relevant, average).select("term", "idf"), "term")
-    apart = held.repartition("id").select("id", "length", F.explode("terms").alias("t")).select("id", "length", "t.term", "t.tf")
-    met = apart.join(hint(weighted), "term").join(F.broadcast(average), how="cross")
-    scores = met.groupBy("id", "query_id").agg(F.round(F.sum(F.col("idf") * F.expr(T.tf_weight("tf", "length", "average_length"))), 6).alias("score"))
+    relevant = held.select(F.explode("terms.term").alias("term")).join(F.broadcast(asked) if n <= MOST_BROADCAST else asked, "term", "left_semi")
+    weights = settle(term_statistics(relevant, average).select("term", "idf"), "term-weights")
+    length = average.first()["average_length"]
+    if n <= MOST_BROADCAST:
+        return _best(held, wanted, weights, length, k)
+    # Blocks of half the bound, as a hash doesn't deal evenly.
+    count = -(-2 * n // MOST_BROADCAST)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    return reduce(DataFrame.unionByName, [settle(_best(held, wanted.where(block == i), weights, length, k), "lexical-block") for i in range(count)])
+
+
+def _best(held: DataFrame, wanted: DataFrame, weights: DataFrame, average: float, k: int) -> DataFrame:
+    """The k best passages (id, length, terms) of each query of ``wanted`` (query_id, term).
+
+    Each batch of passages gives its best k of a query. Where that may be many rows a share of the passages is scored before: the
+    k-th best score among some passages is not above the k-th best of all, so what is below it is left out where it is scored.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    spark = held.sparkSession
+    told = weights.join(wanted.select("term").distinct(), "term", "left_semi").toArrow()
+    rows = wanted.join(weights, "term", "left_semi").toArrow()
+    vocabulary, idf = told.column("term").combine_chunks(), told.column("idf").to_numpy()
+    numbers = rows.column("query_id").combine_chunks().dictionary_encode()
+    keys, of = numbers.dictionary, numbers.indices.to_numpy(zero_copy_only=False)
+    term = pc.index_in(rows.column("term").combine_chunks(), value_set=vocabulary).to_numpy(zero_copy_only=False)
+    term = term[np.lexsort((term, of))]
+    begins = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(keys)))]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((vocabulary, idf, keys, term, begins))
+    kinds = {"query_id": wanted.schema["query_id"].dataType.simpleString(), "id": held.schema["id"].dataType.simpleString()}
+
+    def scored(rows: DataFrame, most: int, floors: dict) -> DataFrame:
+        low = spark.sparkContext.broadcast(np.array([floors.get(key, 0.0) for key in keys.to_pylist()]))
+        run = lambda batches: score_batches(batches, shared.value, low.value, average, most)
+        return map_arrow(rows, run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+
+    dealt, floors = spread(held), {}
+    tasks = dealt.rdd.getNumPartitions()
+    if tasks * len(keys) * k > MOST_UNBOUNDED:
+        some = dealt.where(F.pmod(F.xxhash64("id"), F.lit(FLOOR_SHARE)) == 0).coalesce(-(-tasks // FLOOR_SHARE))
+        tops = scored(some, -(-2 * k // -(-tasks // FLOOR_SHARE)), {}).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+        least = tops.where(F.size("s") >= k).select("query_id", F.col("s")[k - 1].alias("floor")).toArrow()
+        floors = dict(zip(least.column("query_id").to_pylist(), least.column("floor").to_pylist(), strict=True))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    return scored(dealt, k, floors).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
+def score_batches(batches: Iterable, asked: tuple, floors: Any, average: float, most: int) -> Iterator:
+    """(query_id, id, score) of each batch's best ``most`` passages of each query, ties by id, none under the query's floor.
+
+    A batch's weights lie sorted by term, so a query's score is a sum over the slices of its terms; scores of one query are held at once.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    vocabulary, idf, keys, terms, begins = asked
+    names = ["query_id", "id", "score"]
+    for batch in batches:
+        # In order of ids, so that of equal scores the first ones stay.
+        table = pa.table(batch.columns, names=batch.schema.names)
+        table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending")], null_placement="at_start")).combine_chunks()
+        ids, length, lists = (table.column(c).chunk(0) if table.num_rows else None for c in ("id", "length", "terms"))
+        if not table.num_rows:
+            continue
+        flat = lists.flatten().flatten()
+        number = pc.fill_null(pc.index_in(flat[0], value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+        known = np.flatnonzero(number >= 0)
+        known = known[np.argsort(number[known], kind="stable")]
+        doc = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))[known]
+        tf, number = flat[1].to_numpy(zero_copy_only=False)[known].astype(float), number[known]
+        weight = idf[number] * (tf * (T.K1 + 1) / (tf + T.K1 * (1 - T.B + T.B * length.to_numpy(zero_copy_only=False)[doc] / average)))
+        first = np.searchsorted(number, np.arange(len(vocabulary) + 1))
+        out, held = [], 0
+        for q in range(len(keys)):
+            mine = terms[begins[q] : begins[q + 1]]
+            slices = [slice(a, b) for a, b in zip(first[mine].tolist(), first[mine + 1].tolist(), strict=True) if b > a]
+            if not slices:
+                continue
+            score = np.bincount(np.concatenate([doc[s] for s in slices]), np.concatenate([weight[s] for s in slices]), len(ids))
+            at = np.flatnonzero(score >= floors[q] - 1e-6 if floors[q] > 0 else score > 0)
+            value = np.floor(score[at] * 1e6 + 0.5) / 1e6
+            if floors[q] > 0:
+                at, value = at[value >= floors[q]], value[value >= floors[q]]
+            if len(at) > most:
+                least = np.partition(value, len(value) - most)[len(value) - most]
+                above = value > least
+                above[np.flatnonzero(value == least)[: most - np.count_nonzero(above)]] = True
+                at, value = at[above], value[above]
+            if len(at):
+                out.append((q, at, value))
+                held += len(at)
+            if held > 1 << 18:
+                yield _hits(out, keys, ids, names)
+                out, held = [], 0
+        if out:
+            yield _hits(out, keys, ids, names)
+
+
+def _hits(out: list[tuple], keys: Any, ids: Any, names: list[str]) -> Any:
+    import numpy as np
+    import pyarrow as pa
+
+    of = np.repeat([q for q, _, _ in out], [len(at) for _, at, _ in out])
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(of)), ids.take(pa.array(np.concatenate([at for _, at, _ in out]))), pa.array(np.concatenate([v for _, _, v in out]))], names)
