@@ -175,9 +175,14 @@ def _representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
 
+def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup.confirmed_pairs(docs, "doc_id", "text", kept=dedup.text_representatives(docs, "doc_id", "text"))
+
+
 @query(f"WITH {_SHINGLES} SELECT * FROM j")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.confirmed_pairs(_representatives(spark, sf_dir), "doc_id", "text")
+    return _near_pairs(spark, sf_dir)
 
 
 @query(
@@ -188,7 +193,7 @@ g AS (SELECT root, 'near-' || sha256('["' || string_agg(CAST(member AS VARCHAR),
 SELECT member, root, group_id, (SELECT max(jaccard) FROM e WHERE e.x = member) AS jaccard FROM roots JOIN g USING (root)"""
 )
 def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.groups(dedup.confirmed_pairs(_representatives(spark, sf_dir), "doc_id", "text"))
+    return dedup.groups(_near_pairs(spark, sf_dir))
 
 
 @query(
@@ -201,7 +206,7 @@ SELECT id, representative, coalesce(group_id, '') AS group_id FROM o LEFT JOIN r
 )
 def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    grouped = dedup.groups(dedup.confirmed_pairs(_representatives(spark, sf_dir), "doc_id", "text"))
+    grouped = dedup.groups(_near_pairs(spark, sf_dir))
     return dedup.membership(docs, grouped, "doc_id", "text").select("id", "representative", F.coalesce("group_id", F.lit("")).alias("group_id"))
 
 
