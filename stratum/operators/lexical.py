@@ -34,9 +34,10 @@ def as_terms(tokens: DataFrame, token: str) -> DataFrame:
 
 def term_frequencies(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, length): length counts all terms of the passage, repeats included. Passages without terms give no rows."""
-    cut = spread(passages.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(F.expr(T.chunks(T.fold(text_col)))).alias("c"))
+    # An inner explode would be preceded by a filter that cuts the text once more.
+    cut = spread(passages.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode_outer(F.expr(T.chunks(T.fold(text_col)))).alias("c")).where("c IS NOT NULL")
     # Dealt out by passage once: counts and lengths then need no further shuffle.
-    terms = as_terms(cut.select("id", F.explode(F.expr(T.chunk_tokens("c"))).alias("t")), "t").select("id", "term").repartition("id")
+    terms = as_terms(cut.select("id", F.explode_outer(F.expr(T.chunk_tokens("c"))).alias("t")).where("t IS NOT NULL"), "t").select("id", "term").repartition("id")
     counts = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
 
